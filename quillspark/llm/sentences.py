@@ -23,10 +23,12 @@ from quillspark.llm.lookalikes import INVISIBLE, LATIN
 GOES_ON = set(
     """dr prof mr mrs ms messrs st jr sr hon rev gen col lt sgt capt mme mlle mm me pr ts ths th.s pgs pgs.ts gs gs.ts bs cn ks nxb tp tr q p
     pp fig figs sec eq ch chap art vol vols no nos nr abs abb kap tab bd hrsg vgl cf i.e e.g viz vs approx ca al bldg dept univ
-    z.b z. b d.h d. h u.a bzw evtl ggf inkl exkl sog str dipl ing bsp
-    стр рис табл гл см напр т. е т.е т им ул проф доц акад тыс гос ок
-    s ziff nos abt ref al डॉ प्रो श्री सु पं tt tx""".replace("\n", " ").split(" ")
+    z.b d.h u.a bzw evtl ggf inkl exkl sog str dipl ing bsp
+    стр рис табл гл см напр т.е им ул проф доц акад тыс гос ок
+    ziff abt डॉ प्रो श्री सु पं tt tx""".replace("\n", " ").split(" ")
 ) | {"z. b", "d. h", "т. е"}
+# Those of them that go on only before a number.
+BEFORE_NUMBER = set("no nos p pp fig figs s sec art tab eq tr q ch chap abs al ref vol vols kap bd nr nos стр рис табл".split())
 # Abbreviations that may also end a sentence.
 MAY_END = {"v.v", "etc", "usw", "u.s.w", "т. д", "т.д", "т. п", "т.п", "др", "пр", "a.m", "p.m", "u.s", "u.k", "u.n", "inc", "ltd", "co", "corp", "jan", "feb", "aug", "sept", "oct", "nov", "dec", "г", "гг", "в", "đ", "vnđ"}
 # Titles that open an attribution after a quotation.
@@ -122,7 +124,7 @@ def _closing(text: str, mark: re.Match, closers: list[int], nxt: str, nxt_at: in
             forms |= {glued.group(1)} if glued else set()
             if forms & MAY_END:
                 score = 0.25
-            elif forms & GOES_ON:
+            elif forms & GOES_ON - BEFORE_NUMBER or forms & BEFORE_NUMBER and nxt.isdigit():
                 score = -6.0
             elif re.search(r"(?:\A|[ .])[^\W\d_]\Z", low) and (w[-1].isupper() or re.match(r"[^\W\d_]\.", text[nxt_at : nxt_at + 2])):
                 score = -4.0
