@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.llm import queries_forms, queries_sentences
+from quillspark.llm import queries_forms, queries_neighbours, queries_sentences
 
-MODULES = [queries_forms, queries_sentences]
+MODULES = [queries_neighbours, queries_forms, queries_sentences]
 
 
 def queries() -> dict:
