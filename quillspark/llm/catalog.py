@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.llm import queries_conversations, queries_forms, queries_leaks, queries_neighbours, queries_sentences, queries_tokens
+from quillspark.llm import queries_conversations, queries_forms, queries_leaks, queries_neighbours, queries_sentences, queries_splitting, queries_tokens
 
-MODULES = [queries_neighbours, queries_conversations, queries_forms, queries_tokens, queries_leaks, queries_sentences]
+MODULES = [queries_neighbours, queries_conversations, queries_splitting, queries_forms, queries_tokens, queries_leaks, queries_sentences]
 
 
 def queries() -> dict:

@@ -3,9 +3,10 @@
 1. Exact copies are taken together: one representative, the smallest id, stands for all rows of a vector.
 2. On a bounded sample, rotations are learned that make the signs of the coordinates a good code (iterative
    quantisation), and centres that tell which vectors lie together.
-3. Each code is split into substrings, each with its own index. Probing every substring with all values at most
-   one bit away finds, by the pigeonhole principle, every pair of codes within ``2 * substrings - 1`` bits.
-4. Buckets with many rows are split further by a code of the vector's offset from its centre.
+3. Each code is split into substrings, each with its own index. By the pigeonhole principle two codes that differ
+   in fewer bits than there are substrings agree in one, so probing each index with a code's own substring finds
+   every code within that radius, and many beyond.
+4. Buckets with many rows are split further by a code of the vector's offset from the bucket's mean.
 5. Candidate pairs are reranked by their cosine in double precision, placed by centre so that a vector travels
    once for each place that needs it and not once for each pair.
 6. Vectors with fewer than k candidates are compared with all vectors, in blocks.
@@ -26,9 +27,9 @@ from quillspark.shared import Scratch
 
 #: Rows that the rotations and centres are learned from, at most.
 SAMPLE_ROWS = 20_000
-#: Rows up to which a plan of (substrings, bits each) is used: about one random row for each bucket.
-PLANS = [(1 << 20, 4, 16), (1 << 24, 6, 20), (1 << 62, 8, 24)]
-#: A bucket with more rows is split by the offset code.
+#: Rows up to which a plan of (substrings, bits each) is used: a few random rows for each bucket.
+PLANS = [(1 << 20, 12, 16), (1 << 24, 18, 20), (1 << 62, 28, 24)]
+#: A bucket with more rows than this, and than a 5,000th of all, is split by the offset code.
 BUCKET_ROWS = 2_000
 #: Share of differing code bits up to which a candidate pair is reranked; 5/16 is a cosine of about 0.55.
 MOST_DIFFERING = 5 / 16
@@ -79,70 +80,121 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _substrings(signs: np.ndarray, parts: int, width: int) -> np.ndarray:
-    return (signs.reshape(len(signs), parts, width) @ (1 << np.arange(width, dtype=np.int64))).astype(np.int32)
+class Coder:
+    """Codes of unit vectors: substrings by learned rotations, and the nearest centre."""
 
+    def __init__(self, sample: np.ndarray, dims: int, parts: int, width: int, seed: int = 1):
+        self.parts, self.width = parts, width
+        unit = _unit(sample) if len(sample) else np.zeros((1, dims))
+        self.mean = unit.mean(0)
+        self.turn = learn_rotation(unit - self.mean, parts * width, seed)
+        self.offset_turn = learn_rotation(np.zeros((0, dims)), parts * width, seed + 1)
+        self.centres = learn_centres(unit, CENTRES, seed)
+        self.unit = unit
 
-def encode(vectors: DataFrame, dims: int, parts: int, width: int, sample: np.ndarray, seed: int = 1) -> DataFrame:
-    """gid, c (code substrings), r (offset code substrings), home (nearest centre) of each vector."""
-    unit = _unit(sample) if len(sample) else np.zeros((1, dims))
-    mean = unit.mean(0)
-    turn = learn_rotation(unit - mean, parts * width, seed)
-    centres = learn_centres(unit, CENTRES, seed)
-    offset_turn = learn_rotation(np.zeros((0, dims)), parts * width, seed + 1)
+    def _subs(self, signs: np.ndarray) -> np.ndarray:
+        return signs.reshape(len(signs), self.parts, self.width) @ (1 << np.arange(self.width, dtype=np.int64))
+
+    def substrings(self, x: np.ndarray) -> np.ndarray:
+        return self._subs((x - self.mean) @ self.turn > 0)
+
+    def offsets(self, x: np.ndarray) -> np.ndarray:
+        return self._subs(x @ self.offset_turn > 0)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.centres.T - (self.centres * self.centres).sum(1) / 2).argmax(1)
+
+    def keys(self, subs: np.ndarray) -> np.ndarray:
+        return subs + (np.arange(self.parts, dtype=np.int64) << self.width)
+
+    def words(self, subs: np.ndarray) -> list[np.ndarray]:
+        """Substrings, several to a 64-bit word."""
+        each, out = 64 // self.width, []
+        for i in range(0, self.parts, each):
+            some = subs[:, i : i + each].astype(np.uint64)
+            out.append((some << (np.arange(some.shape[1], dtype=np.uint64) * np.uint64(self.width))).sum(1, dtype=np.uint64).view(np.int64))
+        return out
+
+
+def _words(parts: int, width: int) -> list[str]:
+    return [f"c{i}" for i in range(-(-parts // (64 // width)))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _unit(_matrix(b.column("v"), dims))
-            home = (x @ centres.T - (centres * centres).sum(1) / 2).argmax(1)
-            c = _substrings((x - mean) @ turn > 0, parts, width)
-            r = _substrings((x - centres[home]) @ offset_turn > 0, parts, width)
-            ints = lambda m: pa.ListArray.from_arrays(np.arange(0, len(m) * parts + 1, parts, dtype=np.int32), pa.array(m.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("gid"), ints(c), ints(r), pa.array(home.astype(np.int32))], names=["gid", "c", "r", "home"])
 
-    return vectors.select("gid", "v").mapInArrow(run, "gid bigint, c array<int>, r array<int>, home int")
+def _substring(word: Column, i: int, width: int) -> Column:
+    return F.shiftrightunsigned(word, i % (64 // width) * width).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _differing(a: str, b: str, i: int) -> Column:
-    return F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
+def encode(vectors: DataFrame, dims: int, coder: Coder) -> DataFrame:
+    """``vectors`` with c0, c1, ... (the code) and home (the nearest centre)."""
+    words = _words(coder.parts, coder.width)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _unit(_matrix(b.column("v"), dims))
+                yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, coder.words(coder.substrings(x))), pa.array(coder.home(x).astype(np.int32))], names=[*b.schema.names, *words, "home"])
+
+    return vectors.mapInArrow(run, ", ".join([*kinds, *[f"{w} bigint" for w in words], "home int"]))
 
-def candidate_pairs(codes: DataFrame, parts: int, width: int, scratch: Scratch, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Pairs a < b of codes that agree up to one bit in some substring: a, b, home_b. Each pair comes once.
 
-    A pair that differs in one bit of a substring is found from the side where that bit is 0, so that only those
-    values are probed; a pair that agrees is found among the rows of the bucket.
+def _finer(coded: DataFrame, dims: int, coder: Coder, bits: dict[int, int]) -> DataFrame:
+    """Index rows with ``fine``: -1 in ordinary buckets, in large ones a row for each substring of the offset from the bucket's mean."""
+    words, named = _words(coder.parts, coder.width), ["gid", "home"]
+    seen = coder.keys(coder.substrings(coder.unit))
+    large = np.array(sorted(bits), dtype=np.int64)
+    masks = (1 << np.array([bits[k] for k in large.tolist()], dtype=np.int64)) - 1
+    means = np.tile(coder.mean, (len(large), 1))
+    for i, k in enumerate(large.tolist()):
+        inside = seen[:, k >> coder.width] == k
+        if inside.any():
+            means[i] = coder.unit[inside].mean(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4_096):
+                b = whole.slice(at, 4_096)
+                x = _unit(_matrix(b.column("v"), dims))
+                keys = coder.keys(coder.substrings(x))
+                slot = np.minimum(np.searchsorted(large, keys), len(large) - 1)
+                split = large[slot] == keys
+                row, part = np.nonzero(~split)
+                key, fine = keys[row, part], np.full(len(row), -1, dtype=np.int64)
+                r, p = np.nonzero(split)
+                s = slot[r, p]
+                f = coder.keys(coder.offsets(x[r] - means[s]) & masks[s][:, None])
+                row, key, fine = np.r_[row, np.repeat(r, coder.parts)], np.r_[key, np.repeat(keys[r, p], coder.parts)], np.r_[fine, f.ravel()]
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(row)) for c in [*named, *words]], pa.array(key), pa.array(fine)], names=[*named, *words, "key", "fine"])
+
+    return coded.mapInArrow(run, ", ".join(["gid bigint", "home int", *[f"{w} bigint" for w in words], "key bigint", "fine bigint"]))
+
+
+def candidate_pairs(coded: DataFrame, dims: int, coder: Coder, bucket_rows: int) -> DataFrame:
+    """Pairs a < b of codes that agree in some substring: a, b, home_a, home_b. Each pair comes once.
+
+    Rows of a bucket with more than ``bucket_rows`` rows meet only where the codes of their offsets from the bucket's
+    mean agree in some substring too, of so many bits that at most about ``bucket_rows`` rows are left together.
     """
-    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("c")[t].alias("v")) for t in range(parts)]))
-    rows = codes.select("gid", "c", "r", "home", tables.alias("k")).select("gid", "c", "r", "home", "k.t", "k.v")
-    unset = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.expr("v").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) == 0)
-    flips = rows.select("gid", "c", "r", "home", "t", F.lit(False).alias("same"), F.explode(F.transform(unset, lambda i: F.col("v").bitwiseOR(F.call_function("shiftleft", F.lit(1), i)))).alias("v"))
-    probes = rows.withColumn("same", F.lit(True)).unionByName(flips)
-    big = scratch.save(rows.groupBy("t", "v").count().where(F.col("count") > bucket_rows).select("t", "v", F.lit(True).alias("big")), "big")
-    keys = ["t", "v"]
-    if big.limit(1).count():
-        keys = ["t", "v", "u", "w"]
-        none = F.array(F.struct(F.lit(-1).alias("u"), F.lit(0).alias("w")))
-        exact = [F.struct(F.lit(u).alias("u"), F.col("r")[u].alias("w")) for u in range(parts)]
-        near = [F.struct(F.lit(u).alias("u"), F.col("r")[u].bitwiseXOR(F.lit(1 << i)).alias("w")) for u in range(parts) for i in range(width)]
-        split = lambda df, subs: df.join(big, ["t", "v"], "left").withColumn("s", F.explode(F.when(F.col("big"), F.array(*subs)).otherwise(none))).select("*", "s.u", "s.w").drop("s", "big")
-        rows, probes = split(rows, exact), split(probes, exact + near)
-    a = probes.select(*keys, F.col("gid").alias("ga"), F.col("c").alias("ca"), F.col("r").alias("ra"), F.col("home").alias("ha"), "same")
-    b = rows.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("gid").alias("gb"), F.col("c").alias("cb"), F.col("r").alias("rb"), F.col("home").alias("hb"))
-    if len(keys) == 2:
-        a, b = a.drop("ra"), b.drop("rb")
-    on = [F.col(k) == F.col(f"b_{k}") for k in keys]
-    on.append(~F.col("same") | (F.col("ga") < F.col("gb")))
-    on.append(reduce(Column.__add__, [_differing("ca", "cb", i) for i in range(parts)]) <= int(parts * width * MOST_DIFFERING))
-    for i in range(parts - 1):  # found by an earlier table
-        on.append((F.col("t") <= i) | (_differing("ca", "cb", i) > 1))
-        if len(keys) > 2:
-            on.append((F.col("u") <= i) | (_differing("ra", "rb", i) > 1))
-    found = a.join(b, reduce(Column.__and__, on))
-    less = F.col("ga") < F.col("gb")
-    return found.select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b"), F.when(less, F.col("hb")).otherwise(F.col("ha")).alias("home"))
+    parts, width, each = coder.parts, coder.width, 64 // coder.width
+    words = _words(parts, width)
+    keys = F.array(*[F.lit(i << width).cast("bigint") + _substring(F.col(f"c{i // each}"), i, width) for i in range(parts)])
+    rows = coded.select("gid", "home", *words, F.explode(keys).alias("key"))
+    # at most substrings * rows / bucket_rows buckets
+    large = {r.key: min(width, int(np.ceil(np.log2(r["count"] / bucket_rows)))) for r in rows.groupBy("key").count().where(F.col("count") > bucket_rows).collect()}
+    on_keys = ["key", "fine"] if large else ["key"]
+    if large:
+        rows = _finer(coded, dims, coder, large)
+    left = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
+    right = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
+    apart = [F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}")) for w in words]
+    on = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in on_keys]
+    on.append(F.col("a_gid") < F.col("b_gid"))
+    on.append(reduce(Column.__add__, map(F.bit_count, apart)) <= int(parts * width * MOST_DIFFERING))
+    if not large:
+        for i in range(parts - 1):  # found by an earlier substring
+            on.append((F.col("a_key") < ((i + 1) << width)) | (_substring(apart[i // each], i, width) != 0))
+    found = left.join(right, reduce(Column.__and__, on)).select(F.col("a_gid").alias("a"), F.col("b_gid").alias("b"), F.col("a_home").alias("home_a"), F.col("b_home").alias("home_b"))
+    return found.distinct() if large else found
 
 
 def _best(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
@@ -154,24 +206,32 @@ def _best(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, k: int) -> np.n
     return order[np.arange(len(s)) - start < k]
 
 
-def rerank(pairs: DataFrame, vectors: DataFrame, dims: int, k: int, scratch: Scratch) -> DataFrame:
-    """The best k others of each vector among the pairs: src, dst, sim (cosine in double precision, 6 decimals).
+def rerank(pairs: DataFrame, vectors: DataFrame, dims: int, k: int) -> DataFrame:
+    """The best k others of each vector among the pairs: src, dst, sim (cosine in double precision, 6 decimals), copied.
 
-    Each pair is computed where the centre of its second vector is placed; a centre with many pairs has several
-    places. In a place only the best k of each vector are kept, which loses nothing.
+    Each pair is computed where its second vector is placed, by its centre; a centre with many pairs has several
+    places. First vectors travel to the places that need them and aren't their own. In a place only the best k of
+    each vector are kept, which loses nothing. ``copied``: whether dst or src stands for several rows.
     """
-    load = pairs.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / PLACE_PAIRS).cast("int").alias("places"))
-    placed = pairs.join(F.broadcast(load), "home").select("a", "b", (F.col("home") * 100_000 + F.pmod(F.xxhash64("b"), F.col("places").cast("bigint")).cast("int")).alias("place"))
-    placed = scratch.save(placed, "placed")
-    needs = placed.select(F.col("a").alias("gid"), F.col("place").alias("at")).unionByName(placed.select(F.col("b").alias("gid"), F.col("place").alias("at"))).distinct()
-    sent = needs.join(vectors, "gid")
+    load = pairs.groupBy(F.col("home_b").alias("home")).agg(F.ceil(F.count(F.lit(1)) / PLACE_PAIRS).cast("bigint").alias("places")).where("places > 1")
+    several = {r.home: r.places for r in load.collect()}  # at most one row for each centre
+    spread = F.create_map(*[F.lit(x) for pair in several.items() for x in pair]) if several else None
+
+    def place(home: str, key: str) -> Column:
+        salt = F.pmod(F.xxhash64(key), F.coalesce(spread[F.col(home)], F.lit(1).cast("bigint"))) if several else F.lit(0)
+        return (F.col(home).cast("bigint") * 1_000_000 + salt).alias("place")
+
+    placed = pairs.select("a", "b", place("home_b", "b"), place("home_a", "a").alias("own"))
+    needs = placed.where("place != own").select(F.col("a").alias("gid"), F.col("place").alias("at")).distinct()
+    sent = needs.join(vectors.select("gid", "v", "n"), "gid").unionByName(vectors.select("gid", "v", "n", place("home", "gid").alias("at")))
+    placed = placed.select("a", "b", "place")
 
     def run(p: pa.Table, v: pa.Table) -> pa.Table:
         if not p.num_rows:
-            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        ids, x = v.column("gid").to_numpy(), _unit(_matrix(v.column("v"), dims))
+            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "sim": pa.array([], pa.float64()), "copied": pa.array([], pa.bool_())})
+        ids, x, n = v.column("gid").to_numpy(), _unit(_matrix(v.column("v"), dims)), v.column("n").to_numpy()
         order = np.argsort(ids)
-        ids, x = ids[order], x[order]
+        ids, x, n = ids[order], x[order], n[order]
         a, b = p.column("a").to_numpy(), p.column("b").to_numpy()
         ia, ib = np.searchsorted(ids, a), np.searchsorted(ids, b)
         sims = np.empty(len(a))
@@ -180,10 +240,11 @@ def rerank(pairs: DataFrame, vectors: DataFrame, dims: int, k: int, scratch: Scr
             sims[s] = np.einsum("ij,ij->i", x[ia[s]], x[ib[s]])
         sims = np.round(sims, 6)
         src, dst, sim = np.r_[a, b], np.r_[b, a], np.r_[sims, sims]
+        copied = np.tile((n[ia] > 1) | (n[ib] > 1), 2)
         keep = _best(src, dst, sim, k)
-        return pa.table({"src": src[keep], "dst": dst[keep], "sim": sim[keep]})
+        return pa.table({"src": src[keep], "dst": dst[keep], "sim": sim[keep], "copied": copied[keep]})
 
-    return placed.groupBy("place").cogroup(sent.groupBy("at")).applyInArrow(run, "src bigint, dst bigint, sim double")
+    return placed.groupBy("place").cogroup(sent.groupBy("at")).applyInArrow(run, "src bigint, dst bigint, sim double, copied boolean")
 
 
 def against_all(queries: DataFrame, vectors: DataFrame, dims: int, k: int) -> DataFrame:
@@ -213,7 +274,7 @@ def against_all(queries: DataFrame, vectors: DataFrame, dims: int, k: int) -> Da
     return vectors.select("gid", "v").mapInArrow(run, "src bigint, dst bigint, sim double")
 
 
-def most_similar(df: DataFrame, id_col: str, embedding: str, k: int = 10, dims: int = 64, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def most_similar(df: DataFrame, id_col: str, embedding: str, k: int = 10, dims: int = 64, bucket_rows: int | None = None) -> DataFrame:
     """The k most similar others of every row with a usable embedding: id, other, sim, rank from 1.
 
     Usable is an embedding of ``dims`` finite numbers that aren't all zero; other rows are left out. Rows repeated
@@ -221,7 +282,7 @@ def most_similar(df: DataFrame, id_col: str, embedding: str, k: int = 10, dims:
     smaller id. Exact copies are each other's neighbours like any rows. Fewer than k others exist only where the
     table has no more. An empty table gives an empty result.
 
-    The search is approximate in one way: a true neighbour whose code differs by more than one bit in every
+    The search is approximate in one way: a true neighbour whose code differs in every
     substring may be missed, as long as k other candidates are found.
     """
     spark = df.sparkSession
@@ -231,38 +292,49 @@ def most_similar(df: DataFrame, id_col: str, embedding: str, k: int = 10, dims:
     firsts = digests.groupBy("h1", "h2").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("n"))
     firsts = scratch.save(firsts, "firsts")
     copies = scratch.save(digests.join(firsts.where("n > 1"), ["h1", "h2"]).select("id", "gid"), "copies")
-    vectors = rows.withColumnRenamed("id", "gid").join(firsts.select("gid"), "gid", "left_semi").dropDuplicates(["gid"])
+    vectors = rows.withColumnRenamed("id", "gid").join(firsts.select("gid", "n"), "gid").dropDuplicates(["gid"])
     vectors = scratch.save(vectors, "vectors")
     n = vectors.count()
     _, parts, width = next(p for p in PLANS if n <= p[0])
     sample = vectors.orderBy(F.xxhash64("gid")).limit(SAMPLE_ROWS).select("v").toArrow()
-    codes = scratch.save(encode(vectors, dims, parts, width, _matrix(sample.column("v"), dims)), "codes")
-    best = rerank(candidate_pairs(codes, parts, width, scratch, bucket_rows), vectors, dims, k, scratch)
-    by = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    best = scratch.save(best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).drop("rank"), "best")
-    # vectors with too few candidates, copies counted: all others are compared
-    enough = best.groupBy("src").count().where(F.col("count") >= min(k, max(n - 1, 0)))
-    rest = vectors.join(enough.select(F.col("src").alias("gid")), "gid", "left_anti").withColumn("block", F.monotonically_increasing_id())
-    rest = scratch.save(rest, "rest")
+    coder = Coder(_matrix(sample.column("v"), dims), dims, parts, width)
+    coded = scratch.save(encode(vectors, dims, coder), "coded")
+    scratch.drop(vectors)
+    pairs = scratch.save(candidate_pairs(coded, dims, coder, bucket_rows or max(BUCKET_ROWS, n // 5_000)), "pairs")
+    vectors = coded.select("gid", "v", "n", "home")
+    by, whole = Window.partitionBy("src").orderBy(F.desc("sim"), "dst"), Window.partitionBy("src")
+    top = lambda df: df.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    best = top(rerank(pairs, vectors, dims, k)).withColumn("copied", F.max("copied").over(whole)).withColumn("found", F.count(F.lit(1)).over(whole))
+    best = scratch.save(best, "best")
+    scratch.drop(pairs)
+    # vectors with too few candidates are compared with all others
+    full = best.where((F.col("rank") == 1) & (F.col("found") >= min(k, max(n - 1, 0)))).select(F.col("src").alias("gid"))
+    rest = scratch.save(vectors.select("gid").join(full, "gid", "left_anti"), "rest")
     left = rest.count()
+    best = best.drop("found")
     if left:
-        blocks = -(-left // BLOCK_ROWS) * 2 if left > BLOCK_ROWS else 1
-        rest = scratch.save(rest.withColumn("block", F.pmod(F.xxhash64("gid", F.lit(7)), F.lit(blocks))), "rest")
-        exact = [scratch.save(against_all(rest.where(F.col("block") == i), vectors, dims, k).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).drop("rank"), "exact") for i in range(blocks)]
-        best = best.join(rest.select(F.col("gid").alias("src")), "src", "left_anti").unionByName(reduce(DataFrame.unionByName, exact))
-    return _with_copies(best, vectors, copies, k)
+        blocks = 1 if left <= BLOCK_ROWS else -(-left // BLOCK_ROWS) * 2
+        rest = scratch.save(rest.join(vectors, "gid").withColumn("block", F.pmod(F.xxhash64("gid", F.lit(7)), F.lit(blocks))), "rest")
+        exact = [scratch.save(top(against_all(rest.where(F.col("block") == i), vectors, dims, k)), "exact") for i in range(blocks)]
+        exact = reduce(DataFrame.unionByName, exact).withColumn("copied", F.lit(True))
+        best = best.join(rest.select(F.col("gid").alias("src")), "src", "left_anti").unionByName(exact)
+    return _with_copies(best, copies, k)
 
 
-def _with_copies(best: DataFrame, vectors: DataFrame, copies: DataFrame, k: int) -> DataFrame:
-    """From representatives to rows: each list names the smallest k + 1 ids of every group in it, its own included; each row leaves itself out."""
+def _with_copies(best: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """From representatives to rows: id, other, sim, rank.
+
+    A list in which some group has several rows names the smallest k + 1 ids of every group in it, its own
+    included, and each row of its own group leaves itself out.
+    """
+    plain = best.where(~F.col("copied")).select(F.col("src").alias("id"), F.col("dst").alias("other"), "sim", "rank")
     w = Window.partitionBy("gid").orderBy("id")
     named = copies.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1).select(F.col("gid").alias("dst"), "id")
     own = copies.select(F.col("gid").alias("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(1.0).alias("sim"))
-    lists = best.unionByName(own).join(named, "dst", "left").select("src", "sim", F.coalesce("id", "dst").alias("other"))
+    mixed = best.where("copied").select("src", "dst", "sim").unionByName(own).join(named, "dst", "left").select("src", "sim", F.coalesce("id", "dst").alias("other"))
     by = Window.partitionBy("src").orderBy(F.desc("sim"), "other")
-    top = lists.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= k + 1)
-    single = top.join(copies.select(F.col("gid").alias("src")).distinct(), "src", "left_anti").where(F.col("_r") <= k).select(F.col("src").alias("id"), "other", "sim", F.col("_r").alias("rank"))
-    packed = top.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("_r", "sim", "other"))).alias("l"))
-    many = skew_join(copies.withColumnRenamed("gid", "src"), packed, ["src"]).select("id", F.expr("slice(filter(l, x -> x.other != id), 1, %d)" % k).alias("l"))
-    many = many.select("id", F.posexplode("l").alias("p", "x")).select("id", "x.other", "x.sim", (F.col("p") + 1).alias("rank"))
-    return single.unionByName(many)
+    packed = mixed.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= k + 1).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("_r", "sim", "other"))).alias("l"))
+    members = copies.select("id", F.col("gid").alias("src"))
+    single = packed.join(own.select("src"), "src", "left_anti").select(F.col("src").alias("id"), "l")
+    many = single.unionByName(skew_join(members, packed, ["src"], spread=["id"]).select("id", "l")).select("id", F.expr(f"slice(filter(l, x -> x.other != id), 1, {k})").alias("l"))
+    return plain.unionByName(many.select("id", F.posexplode("l").alias("p", "x")).select("id", "x.other", "x.sim", (F.col("p") + 1).alias("rank")))
