@@ -52,3 +52,18 @@ def with_previous(df: DataFrame, group: list[str], order: list[str], take: dict[
     on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_part") == F.col("_p")]
     out = ranged.withColumn("_own", own).join(F.broadcast(carried), on, "left").withColumn("_prev", F.coalesce("_own", "_carry"))
     return out.select(*df.columns, *[F.col("_prev")[c].alias(n) for c, n in take.items()])
+
+
+def running_total(df: DataFrame, group: list[str], order: list[str], value: str, name: str, scratch: Scratch) -> DataFrame:
+    """df with ``name``: the sum of ``value`` over the earlier rows of the group by ``order``; 0 for its first row.
+
+    Null values count as 0. Works over groups of any size, as ``numbered`` does.
+    """
+    ranged = _ranged(df, group, order, scratch)
+    amount = F.coalesce(F.col(value), F.lit(0)).cast("bigint")
+    parts, w = _carried(ranged, group, [F.sum(amount).alias("_n")])
+    before = parts.withColumn("_before", F.sum("_n").over(w)).where("_before > 0").select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_part").alias("_p"), "_before")
+    own = F.sum(amount).over(Window.partitionBy(*group, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_part") == F.col("_p")]
+    out = ranged.withColumn("_own", own).join(F.broadcast(before), on, "left")
+    return out.withColumn(name, F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0))).select(*df.columns, name)
