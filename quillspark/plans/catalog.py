@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import references, retrieval
+from quillspark.plans import agent, references, retrieval, state, texts
 
-MODULES = [references, retrieval]
+MODULES = [references, retrieval, agent, state, texts]
 
 
 def queries() -> dict:
