@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import agent, references, retrieval, state, texts
+from quillspark.plans import agent, layout, references, retrieval, state, streams, texts
 
-MODULES = [references, retrieval, agent, state, texts]
+MODULES = [references, retrieval, agent, state, texts, layout, streams]
 
 
 def queries() -> dict:
