@@ -61,6 +61,7 @@ def bm25(docs: DataFrame, id_col: str, tokens: str, queries: DataFrame, query_id
     avg_len = F.broadcast(corpus_stats(docs, tokens))
     idf = term_stats(docs, id_col, tokens, s).join(query_side(terms), "term", "left_semi").select("term", "idf")
     hits = docs.select(F.col(id_col).alias("id"), F.size(tokens).alias("doc_len"), F.explode(tokens).alias("term")).join(query_side(terms), "term", "left_semi")
+    hits = hits.repartition("id")  # the one shuffle: counting, weighing and summing per query stay with the document
     tf = hits.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
     f = F.col("tf")
     part = F.col("idf") * f * (s.k1 + 1) / (f + s.k1 * (1 - s.b + s.b * F.col("doc_len") / F.col("avg_len")))
@@ -73,7 +74,8 @@ def overlap(docs: DataFrame, id_col: str, tokens: str, queries: DataFrame, query
     """Share of each query's distinct terms that a document holds: query_id, id_col, shared, share."""
     terms = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(query_tokens)).alias("term"), F.size(F.array_distinct(query_tokens)).alias("n"))
     each = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(tokens)).alias("term"))
-    hits = each.join(query_side(terms), "term").groupBy("q", "id").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
+    wanted = each.join(query_side(terms.select("term").distinct()), "term", "left_semi").repartition("id")
+    hits = wanted.join(query_side(terms), "term").groupBy("q", "id").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
     return hits.select(F.col("q").alias(query_id), F.col("id").alias(id_col), "shared", F.round(F.col("shared") / F.col("n"), 6).alias("share"))
 
 
