@@ -46,3 +46,37 @@ def compare(before: DataFrame, after: DataFrame, keys: list[str], metrics: list[
     j = after.join(b, keys, "left")
     zero = lambda m: F.coalesce(f"{m}_before", F.lit(0.0))
     return j.select(*keys, *metrics, *[zero(m).alias(f"{m}_before") for m in metrics], *[F.round(F.col(m) - zero(m), 6).alias(f"{m}_delta") for m in metrics])
+
+
+def preferences(scores: DataFrame, query_id: str, a: str, b: str, metric: str) -> DataFrame:
+    """Per query which of two methods scores better: query_id, preferred (a, b or tie). A missing score is a tie."""
+    both = scores.where(F.col("method").isin(a, b)).groupBy(query_id).agg(F.max(F.when(F.col("method") == a, F.col(metric))).alias("_a"), F.max(F.when(F.col("method") == b, F.col(metric))).alias("_b"))
+    return both.select(query_id, F.when(F.col("_a") > F.col("_b"), a).when(F.col("_b") > F.col("_a"), b).otherwise("tie").alias("preferred"))
+
+
+def ab_summary(runs: DataFrame, rubrics: list[str]) -> DataFrame:
+    """One row of an A/B run (variant, preferred, seconds and rubric columns): means per variant, deltas, preference counts, time ratio.
+
+    An unknown preference counts as a tie; the ratio's denominator is 0.01 at least.
+    """
+    pick = lambda v, c: F.avg(F.when(F.col("variant") == v, F.col(c)))
+    cols = []
+    for r in rubrics:
+        cols += [F.round(pick("A", r), 2).alias(f"{r}_a"), F.round(pick("B", r), 2).alias(f"{r}_b"), F.round(pick("B", r) - pick("A", r), 2).alias(f"{r}_delta")]
+    liked = F.when(F.col("preferred").isin("A", "B"), F.col("preferred")).otherwise("tie")
+    mine = F.col("variant") == "A"  # a preference stands in both rows of a query
+    cols += [F.count_if(mine & (liked == x)).alias(f"prefer_{x.lower()}") for x in ("A", "B", "tie")]
+    seconds = lambda v: F.coalesce(F.sum(F.when(F.col("variant") == v, F.col("seconds"))), F.lit(0.0))
+    return runs.agg(*cols, F.round(seconds("B") / F.greatest(seconds("A"), F.lit(0.01)), 2).alias("time_ratio"))
+
+
+def scenario_checks(traces: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Whether each scenario's traces have all expected events and none that are forbidden: scenario, missing, forbidden, passed.
+
+    ``traces``: scenario, type. ``scenarios``: scenario, expect, forbid (arrays; null is empty). A scenario without traces misses all.
+    """
+    seen = traces.groupBy("scenario").agg(F.collect_set("type").alias("seen"))  # event types are few
+    none = F.array().cast("array<string>")
+    j = scenarios.join(seen, "scenario", "left").withColumn("seen", F.coalesce("seen", none))
+    j = j.select("scenario", F.array_except(F.coalesce("expect", none), "seen").alias("missing"), F.array_intersect(F.coalesce("forbid", none), "seen").alias("forbidden"))
+    return j.withColumn("passed", (F.size("missing") == 0) & (F.size("forbidden") == 0))

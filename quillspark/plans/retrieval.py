@@ -149,6 +149,14 @@ def pool_first_wins(spark: SparkSession, d: str) -> DataFrame:
     return R.first_wins(_ranked(spark, d).withColumn("leg", leg), "item_id", "doc_id", ["leg", "rank"]).select("item_id", "doc_id", "method", "rank")
 
 
+def method_preferences(spark: SparkSession, d: str) -> DataFrame:
+    """Per question set how often fusion ranks the first relevant document better than BM25, worse, or alike."""
+    sets = spark.read.parquet(f"{d}/questions.parquet").select("item_id", "question_set")
+    p = E.preferences(_scores(spark, d), "item_id", "hybrid", "bm25", "mrr").join(sets, "item_id")
+    n = lambda x: F.count_if(F.col("preferred") == x).alias(f"n_{x}")
+    return p.groupBy("question_set").agg(n("hybrid"), n("bm25"), n("tie"))
+
+
 _TOK = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
 _BASE = f"""
 with d as materialized (select doc_id, coalesce({_TOK.format("text")}, []) as tokens from documents),
@@ -190,7 +198,7 @@ _COS = """with v as (select vec_id, label, embedding::double[] as e, sqrt(list_s
 
 
 def queries() -> dict:
-    fs = [token_stats, term_idf, bm25_topk, overlap_topk, rrf_fusion, hybrid_retrieve, rerank_retrieve, dense_topk, chunk_dense_topk, vector_norms, dense_eval_by_label, recall_mrr_hit, eval_by_group, eval_failures, eval_pool, metric_delta, pool_first_wins]
+    fs = [token_stats, term_idf, bm25_topk, overlap_topk, rrf_fusion, hybrid_retrieve, rerank_retrieve, dense_topk, chunk_dense_topk, vector_norms, dense_eval_by_label, recall_mrr_hit, eval_by_group, eval_failures, eval_pool, metric_delta, method_preferences, pool_first_wins]
     return {f.__name__: f for f in fs}
 
 
@@ -212,5 +220,6 @@ def oracle_sql() -> dict[str, str]:
         "eval_failures": _EVAL + "select item_id, method, n_relevant from sc where n_relevant > 0 and hit = 0",
         "eval_pool": _EVAL + "select item_id, doc_id, min(case method when 'bm25' then 0 when 'overlap' then 10 else 20 end + rank)::int as place from ranked where rank <= 10 group by all",
         "metric_delta": _EVAL + "select a.item_id, a.recall, a.mrr, b.recall as recall_before, b.mrr as mrr_before, round(a.recall - b.recall, 6) as recall_delta, round(a.mrr - b.mrr, 6) as mrr_delta from sc a join sc b using (item_id) where a.method = 'hybrid' and b.method = 'bm25'",
+        "method_preferences": _EVAL + "select a.question_set, count(*) filter (where a.mrr > b.mrr) as n_hybrid, count(*) filter (where b.mrr > a.mrr) as n_bm25, count(*) filter (where a.mrr = b.mrr) as n_tie from sc a join sc b using (item_id) where a.method = 'hybrid' and b.method = 'bm25' group by 1",
         "pool_first_wins": _EVAL + "select item_id, doc_id, method, rank from (select *, row_number() over (partition by item_id, doc_id order by leg, rank) as r from ranked) where r = 1",
     }

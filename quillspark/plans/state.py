@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.operators import evaluation as E
 from quillspark.operators import references
 from quillspark.operators import state as T
 from quillspark.operators.ordering import with_previous
@@ -184,6 +185,16 @@ def trace_metrics(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("id").agg(F.count(F.lit(1)).alias("events"), F.max_by(F.when(F.col("type") == "route", get("route")), F.when(F.col("type") == "route", F.col("seq"))).alias("route"), F.max(get("iteration").cast("int")).alias("iterations"), F.max(F.col("type") == "converged").alias("converged"))
 
 
+def trace_scenarios(spark: SparkSession, d: str) -> DataFrame:
+    """Per status of messages, taken as a scenario, which expected events its traces miss and which forbidden ones they have."""
+    m = T.once(_read(spark, d, "messages", "id", "trace", "status"))
+    seen = T.trace_events(m).join(m.select("id", F.col("status").alias("scenario")), "id").select("scenario", "type").distinct()
+    expect = m.select(F.col("status").alias("scenario")).where("scenario is not null").distinct()
+    expect = expect.select("scenario", F.array(F.lit("route"), F.lit("synthesize")).alias("expect"), F.array(F.lit("converged")).alias("forbid"))
+    out = E.scenario_checks(seen, expect)
+    return out.select("scenario", F.size("missing").alias("missing"), F.size("forbidden").alias("forbidden"), "passed")
+
+
 def sse_frames(spark: SparkSession, d: str) -> DataFrame:
     """Trace events as event-stream frames, by digest."""
     e = T.trace_events(T.once(_read(spark, d, "messages", "id", "trace")))
@@ -195,7 +206,7 @@ _M = "m as materialized (select distinct on (id) * from messages)"
 
 
 def queries() -> dict:
-    fs = [message_counts, session_list, recent_history, prompt_transcript, summary_window, latest_summary, upsert_summary, session_title, status_counts, stale_cleanup, admission, missing_sessions, delete_documents, document_states, kb_stats, stale_chunk_counts, index_drift, embed_cache_misses, content_duplicates, contextual_header, chunk_previous, citations_used, context_blocks, trace_types, trace_metrics, sse_frames]
+    fs = [message_counts, session_list, recent_history, prompt_transcript, summary_window, latest_summary, upsert_summary, session_title, status_counts, stale_cleanup, admission, missing_sessions, delete_documents, document_states, kb_stats, stale_chunk_counts, index_drift, embed_cache_misses, content_duplicates, contextual_header, chunk_previous, citations_used, context_blocks, trace_types, trace_metrics, trace_scenarios, sse_frames]
     return {f.__name__: f for f in fs}
 
 
@@ -241,5 +252,8 @@ def oracle_sql() -> dict[str, str]:
           select id, string_agg(h, chr(10) || chr(10) order by label nulls first, h) as context from h group by 1""",
         "trace_types": tr + " select type, count(*) as events, count(distinct id) as messages from t where type is distinct from 'thinking' group by 1",
         "trace_metrics": tr + " select id, count(*) as events, arg_max(json_extract_string(data, '$.route'), seq) filter (where type = 'route') as route, max(try_cast(json_extract_string(data, '$.iteration') as int)) as iterations, bool_or(type = 'converged') as converged from t where type is distinct from 'thinking' group by 1",
+        "trace_scenarios": tr + """, s as (select status as scenario, list_distinct(flatten(list(coalesce(k, [])))) as seen from m left join (select id, list(type) as k from t where type is distinct from 'thinking' group by 1) using (id) where status is not null group by 1),
+          c as (select scenario, len(list_filter(['route', 'synthesize'], lambda x: not list_contains(seen, x)))::int as missing, len(list_filter(['converged'], lambda x: list_contains(seen, x)))::int as forbidden from s)
+          select scenario, missing, forbidden, missing = 0 and forbidden = 0 as passed from c""",
         "sse_frames": tr + " select id, seq::int as seq, md5('event: ' || type || chr(10) || 'data: ' || data || chr(10) || chr(10)) as frame from t where type is distinct from 'thinking'",
     }
