@@ -92,6 +92,10 @@ class Coder:
         self.centres = learn_centres(unit, CENTRES, seed)
         self.unit = unit
 
+    def __getstate__(self) -> dict:
+        """What tasks need: all but the sample."""
+        return {k: v for k, v in self.__dict__.items() if k != "unit"}
+
     def _subs(self, signs: np.ndarray) -> np.ndarray:
         return signs.reshape(len(signs), self.parts, self.width) @ (1 << np.arange(self.width, dtype=np.int64))
 
@@ -277,7 +281,8 @@ def against_all(queries: DataFrame, vectors: DataFrame, dims: int, k: int) -> Da
 def most_similar(df: DataFrame, id_col: str, embedding: str, k: int = 10, dims: int = 64, bucket_rows: int | None = None) -> DataFrame:
     """The k most similar others of every row with a usable embedding: id, other, sim, rank from 1.
 
-    Usable is an embedding of ``dims`` finite numbers that aren't all zero; other rows are left out. Rows repeated
+    Usable is an embedding of ``dims`` finite numbers that aren't all zero; other rows, and rows without id, are left
+    out. Rows repeated
     under one id count once. Similarity is the cosine in double precision rounded to 6 decimals, ties go to the
     smaller id. Exact copies are each other's neighbours like any rows. Fewer than k others exist only where the
     table has no more. An empty table gives an empty result.
@@ -287,7 +292,7 @@ def most_similar(df: DataFrame, id_col: str, embedding: str, k: int = 10, dims:
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
-    rows = df.where(usable(embedding, dims)).select(F.col(id_col).cast("bigint").alias("id"), F.col(embedding).cast("array<float>").alias("v"))
+    rows = df.where(usable(embedding, dims) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(embedding).cast("array<float>").alias("v"))
     digests = rows.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).distinct()
     firsts = digests.groupBy("h1", "h2").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("n"))
     firsts = scratch.save(firsts, "firsts")

@@ -51,6 +51,7 @@ _MARK = re.compile(r"[.!?…‽。！？｡．।॥؟۔]+")
 _PAIRS = re.compile(r"[\"“”„«»「」『』【】（）()\[\]［］｢｣]")
 _OPENS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "【": "】", "（": "）)", "(": ")）", "[": "]", "［": "］", "｢": "｣", "»": "«"}
 _BRACKETS = "（()）[]［］【】"
+_SIGN = re.compile(r"[^\S\r\n]?[\u2600-\u27bf\U0001f300-\U0001faff]\ufe0f?[.!?。！？]+")
 _THAI = re.compile(rf"(?<=[ก-๎]){_I}*[^\S]+(?:{_I}|\s)*(?=[ก-๎])")
 _TOKEN = re.compile(r"(?:[^\W\d_]+\. ?){0,2}[^\W\d_\u0900-\u097f]+\Z|[\u0900-\u097f]+\Z")
 _ENDED = re.compile(rf"[.!?…。！？।；;:：][{re.escape(_CLOSERS)}]*\Z")
@@ -170,6 +171,8 @@ def _paragraph(text: str) -> list[int]:
                 end = step + 1
             elif step < n and closers and text[step] in ".!?。！？":
                 end = step + 1
+            elif (more := _SIGN.match(text, end)) is not None:  # a picture between marks of one end
+                end = more.end()
             elif step < n and text[step] in "’'" and not (step + 1 < n and text[step + 1].isalnum()):
                 end = step + 1
             else:

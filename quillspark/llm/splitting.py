@@ -141,7 +141,7 @@ def pieces(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> list
 
 
 def coarsest_boundaries(df: DataFrame, id_col: str, text: str, limit: int = LIMIT) -> DataFrame:
-    """id_col and boundary for each text over ``limit`` characters; repeated ids count once. Nothing is shuffled but ids and levels."""
+    """id_col and boundary for each text over ``limit`` characters; repeated ids count once, rows without id are left out. Nothing is shuffled but ids and levels."""
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def coarsest_boundaries(df: DataFrame, id_col: str, text: str, limit: int = LIMI
                 part = b.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(coarsest(part.column(1).to_pylist(), limit)[0])], names=["id", "boundary"])
 
-    long = df.where(F.length(text) > limit).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    long = df.where((F.length(text) > limit) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     return long.mapInArrow(run, f"id {kind}, boundary string").dropDuplicates(["id"]).withColumnRenamed("id", id_col)
 
 
@@ -158,11 +158,11 @@ def split_oversized(df: DataFrame, id_col: str, group: str, order: str, text: st
     """All texts as pieces of at most ``limit`` characters: id_col, group, piece_index, overlap, text and the ``keep`` columns.
 
     piece_index counts from 0 through the pieces of a group, by ``order``, then id, then place in the text. Rows with
-    one id count once. Null and empty texts have no piece. Rows of a null group are numbered as one group. Only the
+    one id count once, rows without id are left out. Null and empty texts have no piece. Rows of a null group are numbered as one group. Only the
     keys and cut positions are ordered; texts are joined to them by id.
     """
     scratch = Scratch(df.sparkSession)
-    rows = df.select(id_col, group, order, *keep, F.col(text).alias("text")).where(F.length("text") > 0).dropDuplicates([id_col])
+    rows = df.select(id_col, group, order, *keep, F.col(text).alias("text")).where((F.length("text") > 0) & F.col(id_col).isNotNull()).dropDuplicates([id_col])
     kind = {c: t for c, t in df.dtypes}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,7 +41,7 @@ def test_lonely_vectors_are_compared_with_all(spark):
 
 def test_copies_and_unusable(spark):
     a, b = [1.0, 0.0, 0.0], [0.9, 0.1, 0.0]
-    rows = [(i, a, 0) for i in range(1, 9)] + [(1, a, 0), (20, b, 0), (21, [2.0, 0.0, 0.0], 0), (30, None, 0), (31, [0.0] * 3, 0), (32, [1.0, float("nan"), 0.0], 0), (33, [1.0, 2.0], 0), (34, [1.0, None, 2.0], 0), (35, [float("inf"), 1.0, 1.0], 0)]
+    rows = [(i, a, 0) for i in range(1, 9)] + [(1, a, 0), (20, b, 0), (21, [2.0, 0.0, 0.0], 0), (30, None, 0), (None, [1.0, 0.0, 0.0], 0), (31, [0.0] * 3, 0), (32, [1.0, float("nan"), 0.0], 0), (33, [1.0, 2.0], 0), (34, [1.0, None, 2.0], 0), (35, [float("inf"), 1.0, 1.0], 0)]
     out = N.most_similar(frame(spark, rows), "id", "embedding", k=3, dims=3).collect()
     got = {}
     for r in sorted(out, key=lambda r: (r.id, r.rank)):

@@ -49,7 +49,7 @@ def test_pieces_cover_and_stay_within_the_limit():
 
 
 def test_frames(spark):
-    rows = [(1, 7, 0, "a", "short", "z"), (2, 7, 1, None, "Một câu dài. " * 200, "z"), (2, 7, 1, None, "Một câu dài. " * 200, "z"), (3, 7, 1, "c", "x" * 2500, "z"), (4, None, None, "d", "ngắn", "z"), (5, 7, 9, "e", None, "z"), (6, 7, 9, "e", "", "z"), (7, 8, 0, "f", " " * 1500, "z")]
+    rows = [(1, 7, 0, "a", "short", "z"), (2, 7, 1, None, "Một câu dài. " * 200, "z"), (2, 7, 1, None, "Một câu dài. " * 200, "z"), (3, 7, 1, "c", "x" * 2500, "z"), (4, None, None, "d", "ngắn", "z"), (5, 7, 9, "e", None, "z"), (6, 7, 9, "e", "", "z"), (7, 8, 0, "f", " " * 1500, "z"), (None, 9, 0, "f", "x" * 1500, "z")]
     df = spark.createDataFrame(rows, "id long, document_id long, chunk_index int, section string, text string, base string")
     assert sorted(map(tuple, S.coarsest_boundaries(df, "id", "text").collect())) == [(2, "sentence"), (3, "none"), (7, "paragraph")]
     out = S.split_oversized(df, "id", "document_id", "chunk_index", "text", ["section"]).collect()
