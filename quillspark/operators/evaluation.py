@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def per_query(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, query_id: str, id_col: str, k: int) -> DataFrame:
+def per_query(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, query_id: str, id_col: str, k: int, methods: list[str]) -> DataFrame:
     """query_id, method, n_relevant, recall, mrr, hit at k. A query without relevant ids, or without results, scores 0 in all.
 
-    ``ranked`` has query_id, method, id_col, rank. Repeated relevant pairs count once.
+    ``ranked`` has query_id, method, id_col, rank. Repeated relevant pairs count once. Each query gets a row for each of ``methods``.
     """
     rel = relevant.select(query_id, id_col).distinct()
     n_rel = rel.groupBy(query_id).agg(F.count(F.lit(1)).alias("n_relevant"))
     cut = ranked.where(F.col("rank") <= k).join(rel.withColumn("rel", F.lit(True)), [query_id, id_col], "left")
     got = cut.groupBy(query_id, "method").agg(F.count_if("rel").alias("hits"), F.min(F.when(F.col("rel"), F.col("rank"))).alias("first"))
-    grid = queries.select(query_id).distinct().join(F.broadcast(ranked.select("method").distinct()))  # a few methods
+    grid = queries.select(query_id).distinct().withColumn("method", F.explode(F.array(*map(F.lit, methods))))
     out = grid.join(n_rel, query_id, "left").join(got, [query_id, "method"], "left")
     n = F.coalesce("n_relevant", F.lit(0))
     return out.select(

@@ -14,6 +14,7 @@ from quillspark.settings import Settings
 S = Settings()
 #: Vectors whose id is divisible by this are the queries of the searches over vectors.
 QUERY_EVERY = 50
+METHODS = ["bm25", "overlap", "hybrid"]
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +115,7 @@ def _relevant(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return E.per_query(_ranked(spark, d), _relevant(spark, d), _questions(spark, d), "item_id", "doc_id", 5)
+    return E.per_query(_ranked(spark, d), _relevant(spark, d), _questions(spark, d), "item_id", "doc_id", 5, METHODS)
 
 
 def recall_mrr_hit(spark: SparkSession, d: str) -> DataFrame:
@@ -133,7 +134,7 @@ def eval_failures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_pool(spark: SparkSession, d: str) -> DataFrame:
-    return E.pool(_ranked(spark, d), "item_id", "doc_id", ["bm25", "overlap", "hybrid"], 10)
+    return E.pool(_ranked(spark, d), "item_id", "doc_id", METHODS, 10)
 
 
 def metric_delta(spark: SparkSession, d: str) -> DataFrame:

@@ -54,7 +54,7 @@ def test_metrics(spark):
     lists = {("e1", "bm25"): [11, 1, 16, 9, 7], ("e1", "hybrid"): [11, 2, 9, 13, 8], ("e3", "bm25"): [2, 9, 8, 16, 6], ("e3", "hybrid"): [2, 9, 6, 16, 13], ("h10", "bm25"): [12, 13, 17, 14, 11], ("none", "bm25"): [1]}
     rel = [("e1", 2), ("e1", 2), ("e3", 2), ("e3", 9), ("e3", 8), ("h10", 13), ("h10", 14), ("h10", 6)]
     r = spark.createDataFrame([(q, m, d, k) for (q, m), ds in lists.items() for k, d in enumerate(ds, 1)], "item string, method string, doc long, rank int")
-    s = E.per_query(r, spark.createDataFrame(rel, "item string, doc long"), spark.createDataFrame([("e1",), ("e3",), ("h10",), ("none",)], "item string"), "item", "doc", 5)
+    s = E.per_query(r, spark.createDataFrame(rel, "item string, doc long"), spark.createDataFrame([("e1",), ("e3",), ("h10",), ("none",)], "item string"), "item", "doc", 5, ["bm25", "hybrid"])
     got = {(x.item, x.method): (x.recall, x.mrr, x.hit) for x in s.collect()}
     assert got[("e1", "bm25")] == (0, 0, 0) and got[("e1", "hybrid")] == (1, 0.5, 1) and got[("e3", "bm25")] == (1, 1, 1)
     assert got[("e3", "hybrid")] == (0.666667, 1, 1) and got[("h10", "bm25")] == (0.666667, 0.5, 1) and got[("none", "bm25")] == got[("none", "hybrid")] == (0, 0, 0)
