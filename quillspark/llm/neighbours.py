@@ -31,6 +31,8 @@ SAMPLE_ROWS = 20_000
 PLANS = [(1 << 20, 12, 16), (1 << 24, 18, 20), (1 << 62, 28, 24)]
 #: A bucket with more rows than this, and than a 5,000th of all, is split by the offset code.
 BUCKET_ROWS = 2_000
+#: Rows that are left together in a split bucket, about.
+FINE_ROWS = 64
 #: Share of differing code bits up to which a candidate pair is reranked; 5/16 is a cosine of about 0.55.
 MOST_DIFFERING = 5 / 16
 #: Centres; pairs reranked in one place at most.
@@ -177,14 +179,14 @@ def candidate_pairs(coded: DataFrame, dims: int, coder: Coder, bucket_rows: int)
     """Pairs a < b of codes that agree in some substring: a, b, home_a, home_b. Each pair comes once.
 
     Rows of a bucket with more than ``bucket_rows`` rows meet only where the codes of their offsets from the bucket's
-    mean agree in some substring too, of so many bits that at most about ``bucket_rows`` rows are left together.
+    mean agree in some substring too, of so many bits that about FINE_ROWS rows are left together.
     """
     parts, width, each = coder.parts, coder.width, 64 // coder.width
     words = _words(parts, width)
     keys = F.array(*[F.lit(i << width).cast("bigint") + _substring(F.col(f"c{i // each}"), i, width) for i in range(parts)])
     rows = coded.select("gid", "home", *words, F.explode(keys).alias("key"))
     # at most substrings * rows / bucket_rows buckets
-    large = {r.key: min(width, int(np.ceil(np.log2(r["count"] / bucket_rows)))) for r in rows.groupBy("key").count().where(F.col("count") > bucket_rows).collect()}
+    large = {r.key: min(width, int(np.ceil(np.log2(r["count"] / min(bucket_rows, FINE_ROWS))))) for r in rows.groupBy("key").count().where(F.col("count") > bucket_rows).collect()}
     on_keys = ["key", "fine"] if large else ["key"]
     if large:
         rows = _finer(coded, dims, coder, large)
