@@ -1,6 +1,7 @@
 """The k most similar vectors for every vector, by multi-index hashing over learned rotated binary codes.
 
-1. Exact copies are taken together: one representative, the smallest id, stands for all rows of a vector.
+1. Exact copies are taken together: one representative, the smallest id, stands for all rows of a vector. So are
+   more than k vectors of one direction, which differ by their norm only.
 2. On a bounded sample, rotations are learned that make the signs of the coordinates a good code (iterative
    quantisation), and centres that tell which vectors lie together.
 3. Each code is split into substrings, each with its own index. By the pigeonhole principle two codes that differ
@@ -37,6 +38,8 @@ FINE_ROWS = 64
 MOST_DIFFERING = 5 / 16
 #: Centres; pairs reranked in one place at most.
 CENTRES, PLACE_PAIRS = 256, 400_000
+#: Steps to which the coordinates of a unit vector are rounded to tell directions: finer than 6 decimals of a cosine, coarser than float32.
+DIRECTION_STEPS = 5_000_000
 #: Vectors compared with all others in one pass of the blockwise comparison.
 BLOCK_ROWS = 8_192
 
@@ -280,13 +283,34 @@ def against_all(queries: DataFrame, vectors: DataFrame, dims: int, k: int) -> Da
     return vectors.select("gid", "v").mapInArrow(run, "src bigint, dst bigint, sim double")
 
 
+def direction(v: str) -> Column:
+    """A hash of the unit vector's rounded coordinates."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.xxhash64(F.transform(v, lambda x: F.round(x.cast("double") / norm * DIRECTION_STEPS).cast("bigint")))
+
+
+def _groups(firsts: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """``firsts`` (h1, h2, d, gid, n) with more than ``k`` vectors of one direction d under their smallest gid: h1, h2, gid, n.
+
+    Fewer stay apart, each compared as itself. More are each other's k most similar rows at 1.0, and what
+    others see of them differs by at most two units of the 6th decimal, mostly none. A direction whose coordinates lie
+    on an edge of rounding becomes a few groups, which find each other like any vectors.
+    """
+    wide = scratch.save(firsts.groupBy("d").agg(F.min("gid").alias("_gid"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_c")).where(F.col("_c") > k).drop("_c"), "wide")
+    if not wide.limit(1).count():
+        return firsts.drop("d")
+    inside = skew_join(firsts, wide, ["d"], spread=["gid"]).select("h1", "h2", F.col("_gid").alias("gid"), F.col("_n").alias("n"))
+    outside = skew_join(firsts, wide, ["d"], how="left_anti", spread=["gid"]).select("h1", "h2", "gid", "n")
+    return scratch.save(outside.unionByName(inside), "groups")
+
+
 def most_similar(df: DataFrame, id_col: str, embedding: str, k: int = 10, dims: int = 64, bucket_rows: int | None = None) -> DataFrame:
     """The k most similar others of every row with a usable embedding: id, other, sim, rank from 1.
 
     Usable is an embedding of ``dims`` finite numbers that aren't all zero; other rows, and rows without id, are left
     out. Rows repeated
     under one id count once. Similarity is the cosine in double precision rounded to 6 decimals, ties go to the
-    smaller id. Exact copies are each other's neighbours like any rows. Fewer than k others exist only where the
+    smaller id. Copies, exact or scaled, are each other's neighbours like any rows. Fewer than k others exist only where the
     table has no more. An empty table gives an empty result.
 
     The search is approximate in one way: a true neighbour whose code differs in every
@@ -295,11 +319,11 @@ def most_similar(df: DataFrame, id_col: str, embedding: str, k: int = 10, dims:
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = df.where(usable(embedding, dims) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(embedding).cast("array<float>").alias("v"))
-    digests = rows.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).distinct()
-    firsts = digests.groupBy("h1", "h2").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("n"))
-    firsts = scratch.save(firsts, "firsts")
+    digests = rows.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), direction("v").alias("d")).distinct()
+    firsts = digests.groupBy("h1", "h2", "d").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("n"))
+    firsts = _groups(scratch.save(firsts, "firsts"), k, scratch)
     copies = scratch.save(digests.join(firsts.where("n > 1"), ["h1", "h2"]).select("id", "gid"), "copies")
-    vectors = rows.withColumnRenamed("id", "gid").join(firsts.select("gid", "n"), "gid").dropDuplicates(["gid"])
+    vectors = rows.withColumnRenamed("id", "gid").join(firsts.select("gid", "n").distinct(), "gid").dropDuplicates(["gid"])
     vectors = scratch.save(vectors, "vectors")
     n = vectors.count()
     _, parts, width = next(p for p in PLANS if n <= p[0])

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillspark.llm import neighbours as N
 
@@ -52,3 +53,20 @@ def test_copies_and_unusable(spark):
 def test_empty_and_single(spark):
     df = frame(spark, [(1, [1.0, 2.0], 0)])
     assert N.most_similar(df, "id", "embedding", dims=2).collect() == [] and N.most_similar(df.limit(0), "id", "embedding", dims=2).collect() == []
+
+
+def test_scaled_copies_are_taken_together(spark):
+    rng = np.random.default_rng(5)
+    way = rng.standard_normal(32)
+    cloud = np.outer(rng.uniform(0.5, 2, 300), way)
+    x = np.vstack([cloud, way + 0.1 * rng.standard_normal((30, 32)), rng.standard_normal((30, 32))]).astype(np.float32)
+    df = frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    firsts = df.select("id", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"), N.direction("embedding").alias("d"), F.col("id").alias("gid"), F.lit(1).cast("bigint").alias("n")).drop("id")
+    groups = N._groups(firsts, 5, N.Scratch(spark)).select("gid", "n").distinct().collect()
+    assert len(groups) < 60 + 100 and max(r.n for r in groups) > 30 and min(r.gid for r in groups) == 0
+    got, want = {}, brute(list(range(360)), x.astype(np.float64), 5)
+    for r in N.most_similar(df, "id", "embedding", k=5, dims=32).collect():
+        got.setdefault(r.id, []).append((r.rank, r.other))
+    for i in range(300):
+        assert [o for _, o in sorted(got[i])] == [j for _, j in want[i]]
+    assert all(len(v) == 5 for v in got.values()) and len(got) == 360
