@@ -7,10 +7,12 @@
 3. Each code is split into substrings, each with its own index. By the pigeonhole principle two codes that differ
    in fewer bits than there are substrings agree in one, so probing each index with a code's own substring finds
    every code within that radius, and many beyond.
-4. Buckets with many rows are split further by a code of the vector's offset from the bucket's mean.
+4. Buckets with many rows tell nothing apart and are left out of the indexes; their rows are compared exactly.
 5. Candidate pairs are reranked by their cosine in double precision, placed by centre so that a vector travels
    once for each place that needs it and not once for each pair.
-6. Vectors with fewer than k candidates are compared with all vectors, in blocks.
+6. Rows of large buckets, and vectors with fewer than k candidates, are compared with all vectors that may be among
+   their best, in blocks: the sample gives a similarity that the k-th reaches, and the angle around each centre tells
+   which centres have nothing above it.
 """
 
 from __future__ import annotations
@@ -30,18 +32,16 @@ from quillspark.shared import Scratch
 SAMPLE_ROWS = 20_000
 #: Rows up to which a plan of (substrings, bits each) is used: a few random rows for each bucket.
 PLANS = [(1 << 20, 12, 16), (1 << 24, 18, 20), (1 << 62, 28, 24)]
-#: A bucket with more rows than this, and than a 5,000th of all, is split by the offset code.
+#: The rows of a bucket with more rows than this, and than a 5,000th of all, are compared exactly.
 BUCKET_ROWS = 2_000
-#: Rows that are left together in a split bucket, about.
-FINE_ROWS = 64
 #: Share of differing code bits up to which a candidate pair is reranked; 5/16 is a cosine of about 0.55.
 MOST_DIFFERING = 5 / 16
 #: Centres; pairs reranked in one place at most.
 CENTRES, PLACE_PAIRS = 256, 400_000
 #: Steps to which the coordinates of a unit vector are rounded to tell directions: finer than 6 decimals of a cosine, coarser than float32.
 DIRECTION_STEPS = 5_000_000
-#: Vectors compared with all others in one pass of the blockwise comparison.
-BLOCK_ROWS = 8_192
+#: Vectors compared with others in one pass of the blockwise comparison; vectors that they meet at a time.
+BLOCK_ROWS, STRIPE_ROWS = 8_192, 512
 
 
 def usable(embedding: str, dims: int) -> Column:
@@ -93,9 +93,9 @@ class Coder:
         unit = _unit(sample) if len(sample) else np.zeros((1, dims))
         self.mean = unit.mean(0)
         self.turn = learn_rotation(unit - self.mean, parts * width, seed)
-        self.offset_turn = learn_rotation(np.zeros((0, dims)), parts * width, seed + 1)
         self.centres = learn_centres(unit, CENTRES, seed)
-        self.unit = unit
+        self.ways = self.centres / np.maximum(np.linalg.norm(self.centres, axis=1, keepdims=True), 1e-300)
+        self.unit = unit if len(sample) else unit[:0]
 
     def __getstate__(self) -> dict:
         """What tasks need: all but the sample."""
@@ -107,15 +107,9 @@ class Coder:
     def substrings(self, x: np.ndarray) -> np.ndarray:
         return self._subs((x - self.mean) @ self.turn > 0)
 
-    def offsets(self, x: np.ndarray) -> np.ndarray:
-        return self._subs(x @ self.offset_turn > 0)
-
     def home(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.centres.T - (self.centres * self.centres).sum(1) / 2).argmax(1)
 
-    def keys(self, subs: np.ndarray) -> np.ndarray:
-        return subs + (np.arange(self.parts, dtype=np.int64) << self.width)
-
     def words(self, subs: np.ndarray) -> list[np.ndarray]:
         """Substrings, several to a 64-bit word."""
         each, out = 64 // self.width, []
@@ -147,63 +141,31 @@ def encode(vectors: DataFrame, dims: int, coder: Coder) -> DataFrame:
     return vectors.mapInArrow(run, ", ".join([*kinds, *[f"{w} bigint" for w in words], "home int"]))
 
 
-def _finer(coded: DataFrame, dims: int, coder: Coder, bits: dict[int, int]) -> DataFrame:
-    """Index rows with ``fine``: -1 in ordinary buckets, in large ones a row for each substring of the offset from the bucket's mean."""
-    words, named = _words(coder.parts, coder.width), ["gid", "home"]
-    seen = coder.keys(coder.substrings(coder.unit))
-    large = np.array(sorted(bits), dtype=np.int64)
-    masks = (1 << np.array([bits[k] for k in large.tolist()], dtype=np.int64)) - 1
-    means = np.tile(coder.mean, (len(large), 1))
-    for i, k in enumerate(large.tolist()):
-        inside = seen[:, k >> coder.width] == k
-        if inside.any():
-            means[i] = coder.unit[inside].mean(0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4_096):
-                b = whole.slice(at, 4_096)
-                x = _unit(_matrix(b.column("v"), dims))
-                keys = coder.keys(coder.substrings(x))
-                slot = np.minimum(np.searchsorted(large, keys), len(large) - 1)
-                split = large[slot] == keys
-                row, part = np.nonzero(~split)
-                key, fine = keys[row, part], np.full(len(row), -1, dtype=np.int64)
-                r, p = np.nonzero(split)
-                s = slot[r, p]
-                f = coder.keys(coder.offsets(x[r] - means[s]) & masks[s][:, None])
-                row, key, fine = np.r_[row, np.repeat(r, coder.parts)], np.r_[key, np.repeat(keys[r, p], coder.parts)], np.r_[fine, f.ravel()]
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(row)) for c in [*named, *words]], pa.array(key), pa.array(fine)], names=[*named, *words, "key", "fine"])
-
-    return coded.mapInArrow(run, ", ".join(["gid bigint", "home int", *[f"{w} bigint" for w in words], "key bigint", "fine bigint"]))
-
-
-def candidate_pairs(coded: DataFrame, dims: int, coder: Coder, bucket_rows: int) -> DataFrame:
+def candidate_pairs(coded: DataFrame, coder: Coder, bucket_rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """Pairs a < b of codes that agree in some substring: a, b, home_a, home_b. Each pair comes once.
 
-    Rows of a bucket with more than ``bucket_rows`` rows meet only where the codes of their offsets from the bucket's
-    mean agree in some substring too, of so many bits that about FINE_ROWS rows are left together.
+    Buckets with more than ``bucket_rows`` rows give no pairs; the second frame, gid, has the rows in these, or is None.
     """
     parts, width, each = coder.parts, coder.width, 64 // coder.width
     words = _words(parts, width)
     keys = F.array(*[F.lit(i << width).cast("bigint") + _substring(F.col(f"c{i // each}"), i, width) for i in range(parts)])
     rows = coded.select("gid", "home", *words, F.explode(keys).alias("key"))
     # at most substrings * rows / bucket_rows buckets
-    large = {r.key: min(width, int(np.ceil(np.log2(r["count"] / min(bucket_rows, FINE_ROWS))))) for r in rows.groupBy("key").count().where(F.col("count") > bucket_rows).collect()}
-    on_keys = ["key", "fine"] if large else ["key"]
-    if large:
-        rows = _finer(coded, dims, coder, large)
+    large = scratch.save(rows.groupBy("key").count().where(F.col("count") > bucket_rows).select("key"), "large")
+    dense = None
+    if large.limit(1).count():
+        dense = scratch.save(rows.select("gid", "key").join(F.broadcast(large), "key").select("gid").distinct(), "dense")
+        rows = rows.join(F.broadcast(large), "key", "left_anti").select(rows.columns)
     left = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
     right = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
     apart = [F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}")) for w in words]
-    on = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in on_keys]
-    on.append(F.col("a_gid") < F.col("b_gid"))
+    on = [F.col("a_key") == F.col("b_key"), F.col("a_gid") < F.col("b_gid")]
     on.append(reduce(Column.__add__, map(F.bit_count, apart)) <= int(parts * width * MOST_DIFFERING))
-    if not large:
+    if dense is None:
         for i in range(parts - 1):  # found by an earlier substring
             on.append((F.col("a_key") < ((i + 1) << width)) | (_substring(apart[i // each], i, width) != 0))
     found = left.join(right, reduce(Column.__and__, on)).select(F.col("a_gid").alias("a"), F.col("b_gid").alias("b"), F.col("a_home").alias("home_a"), F.col("b_home").alias("home_b"))
-    return found.distinct() if large else found
+    return found if dense is None else found.distinct(), dense
 
 
 def _best(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
@@ -256,31 +218,112 @@ def rerank(pairs: DataFrame, vectors: DataFrame, dims: int, k: int) -> DataFrame
     return placed.groupBy("place").cogroup(sent.groupBy("at")).applyInArrow(run, "src bigint, dst bigint, sim double, copied boolean")
 
 
-def against_all(queries: DataFrame, vectors: DataFrame, dims: int, k: int) -> DataFrame:
-    """The exact best k others of each query among all vectors, in one pass over these: src, dst, sim.
+class Nearest:
+    """The best k others of each query so far, ties by the smaller other."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray):
+        self.ids, self.x, self.k, self.floor = ids, x, k, floor
+        self.sims, self.others = np.full((len(ids), k), -9.0), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray, at: np.ndarray) -> None:
+        """Compares the queries at the positions ``at`` with vectors x, whose ids are ascending."""
+        sims = self.x[at] @ x.T
+        pos = np.minimum(np.searchsorted(ids, self.ids[at]), len(ids) - 1)
+        own = np.nonzero(ids[pos] == self.ids[at])[0]
+        sims[own, pos[own]] = -9
+        # a tie counts only if some id here is smaller than the last one kept; the margins hold for any rounding
+        last, other = self.sims[at, -1], self.others[at, -1]
+        bound = np.maximum(np.where(ids[0] < other, last - 6e-7, last + 4e-7), self.floor[at] - 6e-7)
+        some = np.nonzero(sims.max(1) >= bound)[0]
+        if not len(some):
+            return
+        sims, at, k = sims[some], at[some], self.k
+        # whole numbers that order by rounded similarity, then by the smaller id
+        key = np.rint(np.round(sims, 6) * 1e6) * len(ids) - np.arange(len(ids))
+        top = np.argpartition(-key, k - 1, axis=1)[:, :k] if len(ids) > k else np.tile(np.arange(len(ids)), (len(some), 1))
+        sims = np.c_[self.sims[at], np.round(np.take_along_axis(sims, top, 1), 6)]
+        others = np.c_[self.others[at], ids[top]]
+        order = np.lexsort((others, -sims), axis=1)[:, :k]
+        self.sims[at], self.others[at] = np.take_along_axis(sims, order, 1), np.take_along_axis(others, order, 1)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, col = np.nonzero((self.sims > -9) & (self.sims >= self.floor[:, None] - 6e-7))
+        return self.ids[row], self.others[row, col], self.sims[row, col]
+
+
+def _floor(x: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """For each row of x, a rounded similarity that its k-th other reaches: the one of the k + 1st of the sample, which may hold the row itself."""
+    if len(sample) <= k:
+        return np.full(len(x), -2.0)
+    at = len(sample) - k - 1
+    sims = [np.partition(x[i : i + 1_024] @ sample.T, at, axis=1)[:, at] for i in range(0, len(x), 1_024)]
+    return np.round(np.concatenate(sims) - 1e-9, 6)  # 1e-9: products may differ in their last bits
+
+
+def spread_of_homes(vectors: DataFrame, dims: int, coder: Coder) -> np.ndarray:
+    """The largest angle between a centre's direction and a vector placed by it; -1 where there is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.full(len(coder.centres), -1.0)
+        for b in batches:
+            if b.num_rows:
+                h = b.column("home").to_numpy()
+                np.maximum.at(most, h, _angle((_unit(_matrix(b.column("v"), dims)) * coder.ways[h]).sum(1)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(most), dtype=np.int32)), pa.array(most)], names=["home", "most"])
+
+    out = np.full(len(coder.centres), -1.0)
+    for r in vectors.select("home", "v").mapInArrow(run, "home int, most double").groupBy("home").agg(F.max("most").alias("most")).collect():
+        out[r.home] = r.most
+    return out
+
+
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def against_all(queries: DataFrame, vectors: DataFrame, dims: int, k: int, coder: Coder, spread: np.ndarray) -> DataFrame:
+    """The exact best k others of each query among all vectors, in one pass over those that may be among them: src, dst, sim.
 
-    ``queries`` has at most BLOCK_ROWS rows and goes to every task.
+    ``queries`` has at most BLOCK_ROWS rows and goes to every task. ``spread`` is of spread_of_homes. A home is left
+    out for the queries whose floor is above all that its angles allow.
     """
     q = queries.select("gid", "v").toArrow()
     q_ids, q_x = q.column("gid").to_numpy(), _unit(_matrix(q.column("v"), dims))
+    floor = _floor(q_x, coder.unit, k)
+    reach = np.maximum(_angle(q_x @ coder.ways.T) - spread - 1e-6, 0)  # 1e-6: angles are less exact near 0
+    needed = (np.cos(reach) >= floor[:, None] - 2e-6) & (spread >= 0)
+    homes = np.nonzero(needed.any(0))[0].tolist()
+    kind = np.unique(needed.T, axis=0, return_inverse=True)[1].ravel()  # homes that the same queries need go together
+    asking = {g: np.nonzero(needed[:, np.argmax(kind == g)])[0] for g in np.unique(kind[homes]).tolist()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Nearest(q_ids, q_x, k, floor)
         for b in batches:
-            for at in range(0, b.num_rows, 2_048):
-                part = b.slice(at, 2_048)
-                ids = part.column("gid").to_numpy()
-                sims = np.round(q_x @ _unit(_matrix(part.column("v"), dims)).T, 6)
-                sims[q_ids[:, None] == ids[None, :]] = -9
-                src, dst, sim = np.repeat(q_ids, len(ids)), np.tile(ids, len(q_ids)), sims.ravel()
-                if len(ids) > k:
-                    top = np.argpartition(-sims, k - 1, axis=1)[:, k - 1]
-                    mask = (sims >= sims[np.arange(len(q_ids)), top][:, None]).ravel()
-                    src, dst, sim = src[mask], dst[mask], sim[mask]
-                keep = _best(src, dst, sim, k)
-                keep = keep[sim[keep] > -9]
-                yield pa.RecordBatch.from_arrays([pa.array(src[keep]), pa.array(dst[keep]), pa.array(sim[keep])], names=["src", "dst", "sim"])
-
-    return vectors.select("gid", "v").mapInArrow(run, "src bigint, dst bigint, sim double")
+            if not b.num_rows:
+                continue
+            ids, group, x = b.column("gid").to_numpy(), kind[b.column("home").to_numpy()], _unit(_matrix(b.column("v"), dims))
+            order = np.argsort(ids)
+            for g in np.unique(group).tolist():
+                inside = order[group[order] == g]
+                for i in range(0, len(inside), STRIPE_ROWS):
+                    s = inside[i : i + STRIPE_ROWS]
+                    best.meet(ids[s], x[s], asking[g])
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, best.found())), names=["src", "dst", "sim"])
+
+    # few tasks: each returns up to k rows for a query
+    return vectors.where(F.col("home").isin(homes)).select("gid", "v", "home").coalesce(vectors.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "src bigint, dst bigint, sim double")
+
+
+def _blocks(rest: DataFrame) -> tuple[DataFrame, int]:
+    """``rest`` with ``block``: rows of one home together, at most about half of BLOCK_ROWS to a block; and the number of blocks."""
+    half, first, share, block, filled = BLOCK_ROWS // 2, {}, {}, 0, 0
+    for r in sorted(rest.groupBy("home").count().collect(), key=lambda r: r.home):
+        if filled and filled + r["count"] > half:
+            block, filled = block + 1, 0
+        first[r.home], share[r.home] = block, -(-r["count"] // half)
+        block, filled = block + share[r.home] - 1, filled + r["count"] if share[r.home] == 1 else half
+    of = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])[F.col("home")]
+    return rest.withColumn("block", of(first) + F.pmod(F.xxhash64("gid", F.lit(7)), of(share))), block + 1
 
 
 def direction(v: str) -> Column:
@@ -314,7 +357,8 @@ def most_similar(df: DataFrame, id_col: str, embedding: str, k: int = 10, dims:
     table has no more. An empty table gives an empty result.
 
     The search is approximate in one way: a true neighbour whose code differs in every
-    substring may be missed, as long as k other candidates are found.
+    substring may be missed, as long as k other candidates are found. Vectors of dense clouds, which lie in large
+    buckets, have their exact neighbours; the time for a cloud grows with the square of its rows.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -331,22 +375,25 @@ def most_similar(df: DataFrame, id_col: str, embedding: str, k: int = 10, dims:
     coder = Coder(_matrix(sample.column("v"), dims), dims, parts, width)
     coded = scratch.save(encode(vectors, dims, coder), "coded")
     scratch.drop(vectors)
-    pairs = scratch.save(candidate_pairs(coded, dims, coder, bucket_rows or max(BUCKET_ROWS, n // 5_000)), "pairs")
+    pairs, dense = candidate_pairs(coded, coder, bucket_rows or max(BUCKET_ROWS, n // 5_000), scratch)
+    pairs = scratch.save(pairs, "pairs")
     vectors = coded.select("gid", "v", "n", "home")
     by, whole = Window.partitionBy("src").orderBy(F.desc("sim"), "dst"), Window.partitionBy("src")
     top = lambda df: df.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     best = top(rerank(pairs, vectors, dims, k)).withColumn("copied", F.max("copied").over(whole)).withColumn("found", F.count(F.lit(1)).over(whole))
     best = scratch.save(best, "best")
     scratch.drop(pairs)
-    # vectors with too few candidates are compared with all others
+    # vectors with too few candidates, and those in large buckets, are compared with all others that may be nearer
     full = best.where((F.col("rank") == 1) & (F.col("found") >= min(k, max(n - 1, 0)))).select(F.col("src").alias("gid"))
-    rest = scratch.save(vectors.select("gid").join(full, "gid", "left_anti"), "rest")
-    left = rest.count()
+    if dense is not None:
+        full = full.join(dense, "gid", "left_anti")
+    rest = scratch.save(vectors.join(full, "gid", "left_anti"), "rest")
     best = best.drop("found")
-    if left:
-        blocks = 1 if left <= BLOCK_ROWS else -(-left // BLOCK_ROWS) * 2
-        rest = scratch.save(rest.join(vectors, "gid").withColumn("block", F.pmod(F.xxhash64("gid", F.lit(7)), F.lit(blocks))), "rest")
-        exact = [scratch.save(top(against_all(rest.where(F.col("block") == i), vectors, dims, k)), "exact") for i in range(blocks)]
+    if rest.limit(1).count():
+        rest, blocks = _blocks(rest)
+        rest = scratch.save(rest, "rest")
+        spread = spread_of_homes(vectors, dims, coder)
+        exact = [scratch.save(top(against_all(rest.where(F.col("block") == i), vectors, dims, k, coder, spread)), "exact") for i in range(blocks)]
         exact = reduce(DataFrame.unionByName, exact).withColumn("copied", F.lit(True))
         best = best.join(rest.select(F.col("gid").alias("src")), "src", "left_anti").unionByName(exact)
     return _with_copies(best, copies, k)

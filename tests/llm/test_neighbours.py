@@ -70,3 +70,28 @@ def test_scaled_copies_are_taken_together(spark):
     for i in range(300):
         assert [o for _, o in sorted(got[i])] == [j for _, j in want[i]]
     assert all(len(v) == 5 for v in got.values()) and len(got) == 360
+
+
+def test_dense_clouds_are_exact(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(32)
+    clouds = [centre + noise * rng.standard_normal((400, 32)) for noise in (1e-2, 1e-5)]
+    x = np.vstack([*clouds, rng.standard_normal((100, 32))])[rng.permutation(900)].astype(np.float32)
+    got, want = {}, brute(list(range(900)), x.astype(np.float64), 5)
+    for r in N.most_similar(frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), "id", "embedding", k=5, dims=32, bucket_rows=50).collect():
+        got.setdefault(r.id, []).append((r.rank, r.other))
+    dense = [i for i, v in enumerate(x) if v @ centre > 0.9 * np.linalg.norm(v) * np.linalg.norm(centre)]
+    assert len(dense) == 800 and all([o for _, o in sorted(got[i])] == [j for _, j in want[i]] for i in dense)
+
+
+def test_blockwise_nearest_against_brute_force():
+    rng = np.random.default_rng(7)
+    x = np.vstack([1 + 1e-4 * rng.standard_normal((700, 8)), rng.standard_normal((300, 8))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = rng.permutation(5_000)[:1_000]
+    best = N.Nearest(ids, x, 4, N._floor(x, x[::3], 4))
+    for s in np.array_split(rng.permutation(1_000), 20):
+        s = s[np.argsort(ids[s])]
+        best.meet(ids[s], x[s], np.arange(1_000))
+    want = brute(ids.tolist(), x, 4)
+    assert all(best.others[a].tolist() == [j for _, j in want[i]] for a, i in enumerate(ids.tolist()))
