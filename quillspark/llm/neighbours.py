@@ -327,9 +327,17 @@ def _blocks(rest: DataFrame) -> tuple[DataFrame, int]:
 
 
 def direction(v: str) -> Column:
-    """A hash of the unit vector's rounded coordinates."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.xxhash64(F.transform(v, lambda x: F.round(x.cast("double") / norm * DIRECTION_STEPS).cast("bigint")))
+    """A hash of the unit vector's rounded coordinates; all vectors have one length."""
+
+    def run(a: pa.Array) -> pa.Array:
+        if not len(a):
+            return pa.array([], pa.int64())
+        x = _unit(_matrix(a, len(a[0])))
+        factors = np.random.default_rng(1).integers(0, 1 << 64, x.shape[1], dtype=np.uint64)
+        return pa.array((np.rint(x * DIRECTION_STEPS).astype(np.int64).view(np.uint64) * factors).sum(1, dtype=np.uint64).view(np.int64))
+
+    run.__annotations__ = {"a": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "bigint")(v)
 
 
 def _groups(firsts: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -363,8 +371,9 @@ def most_similar(df: DataFrame, id_col: str, embedding: str, k: int = 10, dims:
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = df.where(usable(embedding, dims) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(embedding).cast("array<float>").alias("v"))
-    digests = rows.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), direction("v").alias("d")).distinct()
-    firsts = digests.groupBy("h1", "h2", "d").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("n"))
+    digests = rows.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).distinct()
+    firsts = rows.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), direction("v").alias("d")).distinct()
+    firsts = firsts.groupBy("h1", "h2", "d").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("n"))
     firsts = _groups(scratch.save(firsts, "firsts"), k, scratch)
     copies = scratch.save(digests.join(firsts.where("n > 1"), ["h1", "h2"]).select("id", "gid"), "copies")
     vectors = rows.withColumnRenamed("id", "gid").join(firsts.select("gid", "n").distinct(), "gid").dropDuplicates(["gid"])
