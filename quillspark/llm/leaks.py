@@ -21,6 +21,8 @@ WORDS, CHARS = 10, 20
 ITEMS_A_PASS = 20_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});")
+#: Tags of any length, over line breaks too; what stands between two comparison signs can look like one.
+_LONG_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _WORD = re.compile(f"[^\\W_](?:[^\\W_]|[{_MARKS}])*")
 _WIDE = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 
@@ -64,8 +66,7 @@ class Matcher:
         by_chars: dict[str, set[int]] = {}
         self.vocabulary: dict[str, int] = {}
         for item, texts in items:
-            for text in texts:
-                found = self.words(text)
+            for found in [f for text in texts for f in self.readings(text)]:
                 joined = "".join(found)
                 if len(_WIDE.findall(joined)) * 2 > len(joined):
                     for i in range(len(joined) - chars + 1):
@@ -76,21 +77,25 @@ class Matcher:
                         by_words.setdefault(seq[i : i + words], set()).add(item)
         self.by_words, self.by_chars = WuManber(by_words, words), WuManber(by_chars, chars)
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text regardless of case, punctuation, markup, line breaks and look-alikes."""
+    def readings(self, text: str) -> list[list[str]]:
+        """The words of a text regardless of case, punctuation, markup, line breaks and look-alikes; once more without long tags if it may have some."""
         text = self.form(text)
         if "<" in text or "&" in text:
             text = _TAG.sub(" ", text)
-        return _WORD.findall(text.lower())
+        texts = [text]
+        if "<" in text and (bare := _LONG_TAG.sub(" ", text)) != text:
+            texts.append(bare)
+        return [_WORD.findall(t.lower()) for t in texts]
 
     def __call__(self, text: str | None) -> set[int]:
-        if not text:
-            return set()
-        found = self.words(text)
+        out: set[int] = set()
         get = self.vocabulary.get
-        out = self.by_words.find(tuple([get(w, -1) for w in found])) if self.by_words.skip else set()
-        if self.by_chars.skip and _WIDE.search(text):
-            out |= self.by_chars.find("".join(found))
+        wide = bool(text and self.by_chars.skip and _WIDE.search(text))
+        for found in self.readings(text) if text else []:
+            if self.by_words.skip:
+                out |= self.by_words.find(tuple([get(w, -1) for w in found]))
+            if wide:
+                out |= self.by_chars.find("".join(found))
         return out
 
 

@@ -32,3 +32,11 @@ def test_leaks(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 1), (3, 1), (4, 2), (8, 1)]
     assert L.leaks(df, "doc_id", "text", items.limit(0), "item_id", ["question", "expected"]).collect() == []
     assert L.leaks(df.limit(0), "doc_id", "text", items, "item_id", ["question", "expected"]).collect() == []
+
+
+def test_long_and_broken_tags():
+    w = "one two three four five six seven eight nine ten"
+    found = L.Matcher([(1, [w])], {})
+    assert found(w.replace("five", f'five <a href="{"x y " * 100}">')) == {1}
+    assert found(w.replace("five", 'five <span\nclass="a b"\r\nid="c">')) == {1}
+    assert found(f"if a <b\nthen {w}\nand c> d") == {1}  # no tag
