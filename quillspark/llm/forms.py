@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quillspark.llm.lookalikes import INVISIBLE, LATIN_TWINS, MARK_TWINS, NOT_ALIKE
+from quillspark.llm.lookalikes import INVISIBLE, LATIN_TWINS, MARK_TWINS, OTHER_TWINS
 from quillspark.operators.skew import skew_join
 from quillspark.shared import Scratch
 
@@ -74,18 +75,30 @@ def _ordered(s: str) -> str:
     return re.sub(f"[{_MARKS}]{{2,}}", lambda m: "".join(sorted(m.group(), key=lambda c: (unicodedata.combining(c), c))), s)
 
 
-def look_alike_classes(counts: dict[str, int]) -> dict[str, str]:
+def spelling(cluster: str, letters: dict[int, str | None] | None = None) -> str:
+    """An accented cluster in its fully decomposed spelling, accents in order; its characters rewritten by ``letters``."""
+    letters = letters or {}
+    return _ordered("".join(map(decomposed, cluster.translate(letters))).translate(letters))
+
+
+def look_alike_classes(counts: dict[str, int], fold: bool = False) -> dict[str, str]:
     """Member -> representative, for all members that aren't their class's representative.
 
-    ``counts``: how often each code point occurs. A string occurs at most as often as its rarest code point, and
-    that is taken as its frequency. The most frequent member represents its class; at equal counts the shortest,
-    then the smallest. Blanks, hyphens and apostrophes are represented by the ASCII one.
+    ``counts``: how often each code point and each decomposed spelling of a composed letter occurs. Other strings
+    (ligatures and the like) count as often as their rarest code point. The most frequent member represents its
+    class; at equal counts the shortest, then the smallest. Blanks, hyphens and apostrophes are represented by the
+    ASCII one. With ``fold``, the cases of a letter are one class too; the classes are then meant for casefolded texts.
     """
+    if fold:
+        folded: Counter[str] = Counter()
+        for s, n in counts.items():
+            low = s.casefold()
+            folded.update({x: n for x in ([low] if len(low) == len(s) else low)})
+        counts = folded
     classes = Classes()
-    for row in map(str.split, LATIN_TWINS.splitlines()):
+    for row in map(str.split, (LATIN_TWINS + OTHER_TWINS).splitlines()):
         for ch in row[1:]:
-            if ch not in NOT_ALIKE:
-                classes.join(row[0], ch)
+            classes.join(row[0], ch)
     for row in MARK_TWINS:
         for ch in row[1:]:
             classes.join(row[0], ch)
@@ -97,16 +110,30 @@ def look_alike_classes(counts: dict[str, int]) -> dict[str, str]:
         apart = decomposed(ch)
         if apart != ch:
             classes.join(ch, apart)
+    if fold:
+        for s in list(classes.up):
+            classes.join(s, s.casefold())
     # a string whose parts have twins looks like the string of the twins: join it with the string of class roots
     for _ in range(2):
         for s in [x for x in classes.up if len(x) > 1]:
             classes.join(s, "".join(classes.find(c) if len(classes.find(c)) == 1 else c for c in s))
-    seen = lambda s: min((counts.get(c, 0) for c in s), default=0)
+
+    def seen(s: str) -> int:
+        if len(s) == 1 or any(map(unicodedata.combining, s)):
+            return counts.get(s, 0)
+        return min(counts.get(c, 0) for c in s)
+
     ascii_first = {row[0] for row in MARK_TWINS}
+    best = [(group, next((x for x in group if x in ascii_first), None) or min(group, key=lambda x: (-seen(x), len(x), x))) for group in classes.members().values()]
+    letters = {ord(x): to for group, to in best for x in group if len(x) == 1 and x != to}
     out = {}
-    for group in classes.members().values():
-        best = next((x for x in group if x in ascii_first), None) or min(group, key=lambda x: (-seen(x), len(x), x))
-        out.update({x: best for x in group if x != best})
+    for group, to in best:
+        # strings are met in texts whose single characters were rewritten before
+        to = to if len(to) == 1 else spelling(to, letters)
+        for x in group:
+            x = x if len(x) == 1 else spelling(x, letters)
+            if x != to:
+                out[x] = to
     return out
 
 
@@ -126,7 +153,7 @@ class Rewriter:
         self.any = len(self.strings) > 0
         if self.any:
             self.strings.make_automaton()
-        self.cluster = lru_cache(65536)(lambda s: _ordered("".join(decomposed(c) for c in s)))
+        self.cluster = lru_cache(65536)(lambda s: spelling(s, self.single))
 
     def __call__(self, text: str | None) -> str | None:
         """The form of a text: null stays null, a text that shows nothing gives the empty string."""
@@ -153,30 +180,39 @@ class Rewriter:
         return "\n".join(x.strip() for x in text.strip().split("\n")) if "\n" in text else text.strip()
 
 
+_IS_MARK = np.zeros(0x110000, dtype=bool)
+_IS_MARK[list(map(ord, _MARKS))] = True
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0x110000, dtype=np.int64)
+    spelled: Counter[str] = Counter()
     for b in batches:
-        text = "".join(x for x in b.column(0).to_pylist() if x)
+        text = "\n".join(x for x in b.column(0).to_pylist() if x)
         at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         if len(at):
             found = np.bincount(at)
             total[: len(found)] += found
+            if _IS_MARK[: len(found)][found > 0].any():
+                spelled.update(map(spelling, _CLUSTER.findall(text)))
+    # spellings of composed letters: as many as Unicode has, whatever the texts hold
+    one = {s: n for s, n in spelled.items() if len(unicodedata.normalize("NFC", s)) == 1}
     (ids,) = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], names=["cp", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array([*map(chr, ids), *one]), pa.array([*total[ids].tolist(), *one.values()], pa.int64())], names=["s", "n"])
 
 
-def code_point_counts(texts: DataFrame, col: str) -> DataFrame:
-    """How often each code point occurs in a column: cp, n. One pass, counted per partition before the shuffle."""
-    return texts.select(col).mapInArrow(_count_batches, "cp int, n bigint").groupBy("cp").agg(F.sum("n").alias("n"))
+def symbol_counts(texts: DataFrame, col: str) -> DataFrame:
+    """How often each code point, and each decomposed spelling of a composed letter, occurs in a column: s, n. One pass, counted per partition before the shuffle."""
+    return texts.select(col).mapInArrow(_count_batches, "s string, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
 
 
-def corpus_classes(columns: Iterable[tuple[DataFrame, str]]) -> dict[str, str]:
-    """Look-alike classes by the code point counts of whole columns. What reaches the driver is at most one row per Unicode code point."""
-    parts = [code_point_counts(df, c) for df, c in columns]
+def corpus_classes(columns: Iterable[tuple[DataFrame, str]], fold: bool = False) -> dict[str, str]:
+    """Look-alike classes by the counts of whole columns. What reaches the driver is at most one row per Unicode code point and composed letter."""
+    parts = [symbol_counts(df, c) for df, c in columns]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return look_alike_classes({chr(r.cp): r.n for r in every.groupBy("cp").agg(F.sum("n").alias("n")).collect()})
+    return look_alike_classes({r.s: r.n for r in every.groupBy("s").agg(F.sum("n").alias("n")).collect()}, fold)
 
 
 def form_udf(classes: dict[str, str]):
@@ -191,22 +227,44 @@ def form_udf(classes: dict[str, str]):
     return F.pandas_udf(rewrite, StringType())
 
 
+def _formed(df: DataFrame, group: str, id_col: str, text: str, classes: dict[str, str], scratch: Scratch) -> DataFrame:
+    """Distinct group, id, raw (digest of the text), form (digest of its form) of the texts that show something, written once."""
+    form = form_udf(classes)
+    keyed = df.where(F.col(text).isNotNull()).select(F.col(group).alias("group"), F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("raw"), form(text).alias("form"))
+    keyed = keyed.where(F.col("form") != "").select("group", "id", "raw", F.unhex(F.md5("form")).alias("form")).distinct()
+    return scratch.save(keyed, "forms")
+
+
 def looks_same_pairs(df: DataFrame, group: str, id_col: str, text: str, classes: dict[str, str]) -> DataFrame:
     """Pairs id_a < id_b of one ``group`` whose texts have one form but aren't identical: group, id_a, id_b.
 
-    Repeated rows count once. Null texts and texts that show nothing form no pairs. Texts are replaced by 128-bit
-    digests of text and form before any shuffle; forms with only one text are left out before pairing; ids of a
-    form held by many rows are spread by a salt, so that its pairs, which the result has to hold, are made by
-    many tasks.
+    Repeated rows count once. Null texts and texts that show nothing form no pairs, nor do rows of a null group. Texts
+    are replaced by 128-bit digests of text and form before any shuffle; forms with only one text are left out before
+    pairing; ids of a form held by many rows are spread by a salt, so that its pairs, which the result has to hold, are
+    made by many tasks. ``looks_same_classes`` gives the same links in one row per text.
     """
-    form = form_udf(classes)
-    keyed = df.where(F.col(text).isNotNull()).select(group, F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("raw"), form(text).alias("form"))
-    keyed = keyed.where(F.col("form") != "").select(group, "id", "raw", F.unhex(F.md5("form")).alias("form")).distinct()
     scratch = Scratch(df.sparkSession)
-    keyed = scratch.save(keyed, "forms")  # texts are read and rewritten once
-    several = keyed.groupBy(group, "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo != hi").select(group, "form")
-    members = scratch.save(keyed.join(several, [group, "form"], "left_semi"), "members")
+    keyed = _formed(df, group, id_col, text, classes, scratch)
+    several = keyed.groupBy("group", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo != hi").select("group", "form")
+    members = scratch.save(skew_join(keyed, several, ["group", "form"], "left_semi", spread=["id"]), "members")
+    scratch.drop(keyed)
     a = members.withColumnRenamed("id", "id_a").withColumnRenamed("raw", "raw_a")
     b = members.withColumnRenamed("id", "id_b").withColumnRenamed("raw", "raw_b")
     apart = (F.col("id_a") < F.col("id_b")) & (F.col("raw_a") != F.col("raw_b"))
-    return skew_join(a, b, [group, "form"], "inner", spread=["id_a"], residual=apart, hot_rows=2_000).select(group, "id_a", "id_b").distinct()
+    found = skew_join(a, b, ["group", "form"], "inner", spread=["id_a"], residual=apart, hot_rows=2_000)
+    return found.select(F.col("group").alias(group), "id_a", "id_b").distinct()
+
+
+def looks_same_classes(df: DataFrame, group: str, id_col: str, text: str, classes: dict[str, str]) -> DataFrame:
+    """Membership of each text in its class of equal looks: group, id, class_id, members, spellings.
+
+    class_id is the smallest id of the class, members the number of its ids, spellings that of its distinct texts. All
+    links of ``looks_same_pairs`` are between members of one class whose texts differ. Texts that show nothing have no
+    class, nor have rows of a null group; repeated rows count once; an id with several texts has a row for each form.
+    """
+    scratch = Scratch(df.sparkSession)
+    keyed = _formed(df, group, id_col, text, classes, scratch)
+    # one row per spelling first, so that what is counted distinct is small
+    per = keyed.groupBy("group", "form", "raw").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("n")).groupBy("group", "form").agg(F.min("lo").alias("class_id"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("spellings"))
+    out = skew_join(keyed, per, ["group", "form"], "inner", spread=["id"])
+    return out.select(F.col("group").alias(group), "id", "class_id", "members", "spellings").distinct()

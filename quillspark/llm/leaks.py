@@ -12,12 +12,13 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillspark.llm.forms import _MARKS, Rewriter, corpus_classes
 
 #: Words, or characters in Chinese and Japanese, that a passage must share.
 WORDS, CHARS = 10, 20
-#: Items searched for in one pass over the corpus; more items take more passes.
+#: Items searched for in one pass over the corpus, about; more items take more passes.
 ITEMS_A_PASS = 20_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});")
@@ -58,7 +59,7 @@ class WuManber:
 
 
 class Matcher:
-    """Finds test items in texts; built from (item, texts) pairs."""
+    """Finds test items in texts; built from (item, texts) pairs and look-alike classes made with ``fold``."""
 
     def __init__(self, items: list[tuple[int, list[str]]], classes: dict[str, str], words: int = WORDS, chars: int = CHARS):
         self.form = Rewriter(classes)
@@ -79,13 +80,13 @@ class Matcher:
 
     def readings(self, text: str) -> list[list[str]]:
         """The words of a text regardless of case, punctuation, markup, line breaks and look-alikes; once more without long tags if it may have some."""
-        text = self.form(text)
+        text = self.form(text.casefold())
         if "<" in text or "&" in text:
             text = _TAG.sub(" ", text)
         texts = [text]
         if "<" in text and (bare := _LONG_TAG.sub(" ", text)) != text:
             texts.append(bare)
-        return [_WORD.findall(t.lower()) for t in texts]
+        return [_WORD.findall(t) for t in texts]
 
     def __call__(self, text: str | None) -> set[int]:
         out: set[int] = set()
@@ -102,14 +103,16 @@ class Matcher:
 def leaks(corpus: DataFrame, id_col: str, text: str, items: DataFrame, item_id: str, fields: list[str], words: int = WORDS, chars: int = CHARS) -> DataFrame:
     """Distinct (id_col, item_id): texts that share a passage with one of an item's fields.
 
-    Null texts and fields share nothing; repeated rows count once. The corpus isn't shuffled: the patterns of at
-    most ITEMS_A_PASS items go to every task, and larger test sets take several passes.
+    Null texts and fields share nothing; repeated rows count once. The corpus isn't shuffled: the patterns of about
+    ITEMS_A_PASS items go to every task, and larger test sets take several passes.
     """
-    rows = [(r[0], [x for x in r[1:] if x]) for r in items.select(item_id, *fields).distinct().orderBy(item_id).toLocalIterator() if r[0] is not None]
-    classes = corpus_classes([(corpus, text), *[(items, f) for f in fields]])
+    test = items.select(F.col(item_id).alias("item"), *fields).where("item is not null").distinct()
+    passes = max(1, -(-test.count() // ITEMS_A_PASS))
+    classes = corpus_classes([(corpus, text), *[(items, f) for f in fields]], fold=True)
     kind, out = dict(corpus.dtypes)[id_col], None
-    for at in range(0, max(len(rows), 1), ITEMS_A_PASS):
-        some = rows[at : at + ITEMS_A_PASS]
+    for at in range(passes):
+        # one pass's items at a time are on the driver
+        some = [(r[0], [x for x in r[1:] if x]) for r in test.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == at).collect()]
         made: list[Matcher] = []
 
         def run(batches: Iterator[pa.RecordBatch], some=some, made=made) -> Iterator[pa.RecordBatch]:

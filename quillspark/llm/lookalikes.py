@@ -16,7 +16,7 @@ G Ԍ Ꮐ
 H Η Н Ꮋ ᕼ
 I Ι І Ӏ
 J Ј Ϳ Ꭻ
-K Κ К Ꮶ K
+K Κ К Ꮶ K
 L Ꮮ ᒪ
 M Μ М Ꮇ ᗰ
 N Ν
@@ -32,43 +32,43 @@ W Ԝ Ꮃ
 X Χ Х
 Y Υ Ү
 Z Ζ Ꮓ
-a а ɑ α
-b Ь
+a а ɑ
 c с ϲ
 d ԁ
-e е ҽ
-f ẝ
+e е
 g ɡ ց
 h һ հ
 i і ı ι
 j ј ϳ
-k κ
 l ӏ
 n ո
 o о ο օ
 p р ρ
 q ԛ
-r г
 s ѕ
 u υ ս
 v ν ѵ
-w ԝ ɯ
+w ԝ
 x х
 y у ү
-z ᴢ
 Đ Ð Ɖ
-đ ɖ ƌ
+đ ɖ
 Ë Ё
 ë ё
 Ï Ї
 ï ї
 """
-# Pairs above that differ too much in common fonts to count, or stand for a letter of their own.
-NOT_ALIKE = "αɑҽһɯᴢьЬẝгƌηκ"
+# Letters drawn alike in scripts other than Latin, each row one look.
+OTHER_TWINS = """
+Γ Г
+Π П
+Φ Ф
+へ ヘ
+"""
 # Blanks, hyphens and other marks drawn alike, in rows.
 MARK_TWINS = [
     " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\t",
     "-\u2010\u2011\u2012\u2013\ufe63\uff0d\u2043\u2212",
     "'\u02bc\uff07",
 ]
-LATIN = {ord(c): w[0] for w in map(str.split, LATIN_TWINS.splitlines()) if w for c in w[1:] if c not in NOT_ALIKE}
+LATIN = {ord(c): w[0] for w in map(str.split, LATIN_TWINS.splitlines()) if w for c in w[1:]}

@@ -24,6 +24,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return forms.looks_same_pairs(rows, "field", "id", "text", forms.corpus_classes([(rows, "text")]))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of the three fields with its class of equal looks: the same links in one row for each text."""
+    rows = _fields(spark, d)
+    return forms.looks_same_classes(rows, "field", "id", "text", forms.corpus_classes([(rows, "text")]))
+
+
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every text of the three fields in its one form."""
     rows = _fields(spark, d)
@@ -32,7 +38,7 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_forms": p5_forms}
+    return {"p5_found": p5_found, "p5_classes": p5_classes, "p5_forms": p5_forms}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -47,3 +47,19 @@ def test_pairs(spark):
     assert sorted(map(tuple, got.collect())) == [("t", 1, 2), ("t", 2, 3), ("t", 10, 11)]
     none = df.limit(0)
     assert forms.looks_same_pairs(none, "field", "id", "text", forms.corpus_classes([(none, "text")])).collect() == []
+
+
+def test_frequent_spelling_represents():
+    """The more frequent spelling of an accented letter stands for its class, by real counts of both."""
+    assert forms.look_alike_classes({"é": 3, "e": 99, "́": 9, "é": 2})["é"] == "é"
+    assert forms.look_alike_classes({"é": 3, "e": 99, "́": 9, "é": 5})["é"] == "é"
+    assert forms.look_alike_classes({"A": 5, "a": 9}, fold=True)["A"] == "a"
+
+
+def test_classes(spark):
+    rows = [("t", 1, "cà phê", None), ("t", 1, "cà phê", None), ("t", 2, "cà phê", None), ("t", 3, "trà", None), ("t", 4, "​", None), ("t", 5, None, None), (None, 6, "trà", None)]
+    rows.append(("t", 7, "cà phê", None))
+    df = spark.createDataFrame(rows, TEXT)
+    got = forms.looks_same_classes(df, "field", "id", "text", forms.corpus_classes([(df, "text")]))
+    assert sorted(map(tuple, got.collect())) == [("t", 1, 1, 3, 2), ("t", 2, 1, 3, 2), ("t", 3, 3, 1, 1), ("t", 7, 1, 3, 2)]
+    assert forms.looks_same_classes(df.limit(0), "field", "id", "text", {}).collect() == []

@@ -40,3 +40,28 @@ def test_long_and_broken_tags():
     assert found(w.replace("five", f'five <a href="{"x y " * 100}">')) == {1}
     assert found(w.replace("five", 'five <span\nclass="a b"\r\nid="c">')) == {1}
     assert found(f"if a <b\nthen {w}\nand c> d") == {1}  # no tag
+
+
+def test_case_and_spelling_together(spark):
+    """Capitals, decomposed and with twins, are found whichever spelling the corpus has more of."""
+    import unicodedata
+
+    w = "những ứng dụng ớt đỏ ở nước mình rất được ưa chuộng"
+    cyr = "весна пришла и снова нас ждёт новая работа в поле"
+    items = spark.createDataFrame([(1, w, None, "x"), (2, cyr, None, "x"), (3, "die große straße führt uns an dem alten haus vorbei", None, "x")], ITEMS)
+    up = w.upper()
+    apart = unicodedata.normalize("NFD", up)
+    docs = [up, apart, unicodedata.normalize("NFD", w), up.replace("O", "О").replace("E", "Е"), apart.replace("A", "А")]
+    rows = [(i, t) for i, t in enumerate(docs)] + [(10, cyr.upper()), (11, cyr), (12, "DIE GROSSE STRASSE FÜHRT UNS AN DEM ALTEN HAUS VORBEI")]
+    for filler in ("Ứ Ớ Í " * 500, unicodedata.normalize("NFD", "Ứ Ớ Í Ữ ứ ớ " * 500), "В Н С Р " * 500, "x"):
+        df = spark.createDataFrame([*rows, (99, filler)], "doc_id long, text string")
+        got = L.leaks(df, "doc_id", "text", items, "item_id", ["question", "expected"])
+        assert sorted(map(tuple, got.collect())) == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (10, 2), (11, 2), (12, 3)], filler[:10]
+
+
+def test_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(L, "ITEMS_A_PASS", 2)
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    items = spark.createDataFrame([(i, text(i)) for i in range(7)], "item_id long, question string")
+    df = spark.createDataFrame([(i, text(i)) for i in range(7)], "doc_id long, text string")
+    assert sorted(map(tuple, L.leaks(df, "doc_id", "text", items, "item_id", ["question"]).collect())) == [(i, i) for i in range(7)]
