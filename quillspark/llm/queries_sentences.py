@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.sentences import sentences
+from quillspark.llm.sentences import sentence_arrays, sentences
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,9 +17,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """Sentences per document: how many and the longest span between two ends."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    from quillspark.llm.sentences import _ends
-
-    e = docs.select("doc_id", _ends("text").alias("e"))
+    e = sentence_arrays(docs, "text", "e")
     span = F.expr("array_max(transform(e, (x, i) -> x - if(i = 0, 0, e[i - 1])))")
     return e.select("doc_id", F.size("e").alias("sentences"), span.alias("longest"))
 

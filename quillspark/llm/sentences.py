@@ -3,7 +3,8 @@
 A text is cut into blocks at blank lines. Headings, list items, table rows and formulas on a line of their own
 are units as they are; the other lines of a block form a paragraph. In a paragraph every run of closing marks is
 a candidate, and the best chain of spans between candidates is chosen. The score of a span joins its length, how
-it opens, how it closes, and whether the quotations and brackets within it are balanced.
+it opens, how it closes, and whether the quotations and brackets within it are balanced. Spans may be of any length;
+far starts are compared by their best alone, so that a paragraph takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ TITLES = {"ths", "ts", "pgs", "pgs.ts", "gs", "gs.ts", "bs", "ks", "cn", "dr", "
 # German months, after which an ordinal's point is no end.
 MONTHS = {"januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"}
 
+#: Characters before a point that are looked at: some words, each as long as the longest abbreviation.
+_LOOK_BACK = 3 * max(map(len, GOES_ON | MAY_END | TITLES))
+#: Length from which a span's length costs no more than it does already.
+_FAR = 1_800
+
 _I = f"[{INVISIBLE}]"
 _CLOSERS = "\"”’»«“」』】〉》）)］\\]}｣"
 _LINE = re.compile(r"([^\r\n]*)(\r\n|\r|\n|\Z)")
@@ -62,22 +68,28 @@ _WIDE = re.compile("[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ]")
 def _pairs(text: str) -> tuple[dict[int, int], list[int]]:
     """Close position -> open position of matched quotes and brackets; the matched opening positions in order."""
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, int] = {}  # open marks on the stack, by the closing mark they wait for
     matched: dict[int, int] = {}
+
+    def push(ch: str, at: int) -> None:
+        stack.append((ch, at))
+        for x in _OPENS.get(ch, ch):
+            waiting[x] = waiting.get(x, 0) + 1
+
+    def pop_from(k: int) -> None:
+        for ch, _ in stack[k:]:
+            for x in _OPENS.get(ch, ch):
+                waiting[x] -= 1
+        del stack[k:]
+
     for m in _PAIRS.finditer(text):
         ch, at = m.group(), m.start()
-        if ch == '"':
-            hit = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if hit is None:
-                stack.append((ch, at))
-                continue
-        else:
-            hit = next((k for k in range(len(stack) - 1, -1, -1) if ch in _OPENS.get(stack[k][0], "")), None)
-            if hit is None:
-                if ch in _OPENS:
-                    stack.append((ch, at))
-                continue
-        matched[at] = stack[hit][1]
-        del stack[hit:]
+        if waiting.get(ch):
+            hit = next(k for k in range(len(stack) - 1, -1, -1) if ch in _OPENS.get(stack[k][0], stack[k][0]))
+            matched[at] = stack[hit][1]
+            pop_from(hit)
+        elif ch == '"' or ch in _OPENS:
+            push(ch, at)
     return matched, sorted(matched.values())
 
 
@@ -114,7 +126,7 @@ def _closing(text: str, mark: re.Match, closers: list[int], nxt: str, nxt_at: in
     run = mark.group()
     quoted = any(text[c] not in _BRACKETS for c in closers)
     if set(run) == {"."} and len(run) == 1:
-        before = text[max(0, mark.start() - 24) : mark.start()].replace(" ", " ").translate(_NOTHING)
+        before = text[max(0, mark.start() - _LOOK_BACK) : mark.start()].replace(" ", " ").translate(_NOTHING)
         score = 1.5
         word = _TOKEN.search(before)
         if word and not closers:
@@ -151,6 +163,43 @@ def _closing(text: str, mark: re.Match, closers: list[int], nxt: str, nxt_at: in
 _NOTHING = {ord(c): None for c in INVISIBLE}
 
 
+class _Far:
+    """The best starts of spans that lie far back, for each number of open pairs around them.
+
+    All that tells such starts apart for a later end is the score of their chain, the pairs around them and on which
+    side of the end's own openers they lie; so for each stretch between openers the best start of each depth suffices.
+    """
+
+    def __init__(self) -> None:
+        #: depth -> starts and scores of: records from the left, records from the right, all
+        self.by: dict[int, tuple[list[int], list[float], list[int], list[float], list[int], list[float]]] = {}
+
+    def add(self, i: int, depth: int, score: float) -> None:
+        left, left_s, right, right_s, every, every_s = self.by.setdefault(depth, ([], [], [], [], [], []))
+        if not left or score >= left_s[-1]:
+            left.append(i)
+            left_s.append(score)
+        while right and right_s[-1] <= score:
+            right.pop()
+            right_s.pop()
+        for xs, x in ((right, i), (right_s, score), (every, i), (every_s, score)):
+            xs.append(x)
+
+    def best(self, a: int, b: int, first: int, end: int) -> list[int]:
+        """The best start in [a, b) for each depth, where all starts lie in [first, end); of equal ones the last."""
+        out = []
+        for left, _, right, _, every, every_s in self.by.values():
+            if b == end:
+                out += right[bisect_left(right, a) :][:1]
+            elif a == first:
+                out += left[: bisect_left(left, b)][-1:]
+            else:  # between two openers of pairs that close together
+                lo, hi = bisect_left(every, a), bisect_left(every, b)
+                if lo < hi:
+                    out.append(max(zip(every_s[lo:hi], every[lo:hi]))[1])
+        return out
+
+
 def _paragraph(text: str) -> list[int]:
     """Ends of the sentences of a paragraph, as offsets in it."""
     n = len(text)
@@ -198,31 +247,45 @@ def _paragraph(text: str) -> list[int]:
     depth = [bisect_left(opens, e) - bisect_left(closes, e) for e in ends[:-1]] + [0]
     starts = [0] + [_opening(text, e)[2] for e in ends[:-1]]
     best, back = [0.0] + [float("-inf")] * len(ends), [0] * (len(ends) + 1)
+
+    def span(i: int, j: int, close: float, owners: list[int], around: int) -> float:
+        """Score of the best chain whose last span is the one from start i to end j."""
+        e, s = ends[j], starts[i]
+        score = close - 8.0 * abs(around - (depth[i - 1] if i else 0)) - 8.0 * (around > 0)
+        for o in owners:
+            if o > s + 2 and text[o] in _BRACKETS:
+                score -= 5.0
+            elif _WIDE.match(text, e):  # after a quotation in such scripts an attribution may follow at once
+                score -= 0.5 if text[max(0, o - 1)] in "：:" else 6.0
+            elif o > s + 2:
+                score -= 0.5
+        length = e - s
+        if length < 3:
+            score -= 1.5
+        elif length > 300:
+            score -= min(3.0, 0.002 * (length - 300))
+        return best[i] + score
+
+    far, first, near = _Far(), 0, 0  # starts before ``first`` are never better; those from first to near are far back
     for j, e in enumerate(ends):
         last = j == len(cands)
         close = 0.0 if last else cands[j][1] + cands[j][2]
         owners = [] if last else cands[j][3]
         around = 0 if last else depth[j]
-        for i in range(j, -1, -1):
-            s = starts[i]
-            score = close - 8.0 * abs(around - (depth[i - 1] if i else 0)) - 8.0 * (around > 0)
-            for o in owners:
-                if o > s + 2 and text[o] in _BRACKETS:
-                    score -= 5.0
-                elif _WIDE.match(text, e):  # after a quotation in such scripts an attribution may follow at once
-                    score -= 0.5 if text[max(0, o - 1)] in "：:" else 6.0
-                elif o > s + 2:
-                    score -= 0.5
-            length = e - s
-            if length < 3:
-                score -= 1.5
-            elif length > 300:
-                score -= min(3.0, 0.002 * (length - 300))
-            if best[i] + score > best[j + 1]:
-                best[j + 1], back[j + 1] = best[i] + score, i
-            # an interior end that is certain and outside all pairs is always better cut than kept
-            if i and i - 1 < len(cands) and depth[i - 1] == 0 and cands[i - 1][1] + cands[i - 1][2] > 2.4 and not cands[i - 1][3]:
-                break
+        # an interior end that is certain and outside all pairs is always better cut than kept
+        if j and depth[j - 1] == 0 and cands[j - 1][1] + cands[j - 1][2] > 2.4 and not cands[j - 1][3]:
+            far, first, near = _Far(), j, j
+        while near <= j and starts[near] <= e - _FAR:
+            far.add(near, depth[near - 1] if near else 0, best[near])
+            near += 1
+        tried = list(range(j, near - 1, -1))
+        if near > first:
+            edges = [first, *sorted({min(max(bisect_left(starts, o - 2), first), near) for o in owners}), near]
+            tried += sorted({i for a, b in zip(edges, edges[1:]) for i in far.best(a, b, first, near)}, reverse=True)
+        for i in tried:
+            score = span(i, j, close, owners, around)
+            if score > best[j + 1]:
+                best[j + 1], back[j + 1] = score, i
     out, j = [], len(ends)
     while j:
         out.append(ends[j - 1])
@@ -297,6 +360,12 @@ def _ends(texts: pd.Series) -> pd.Series:
     return texts.map(sentence_ends)
 
 
+def sentence_arrays(df: DataFrame, text: str, out: str = "ends") -> DataFrame:
+    """The columns of df without the text, and ``out``, the end positions of its sentences; an empty array where it has none."""
+    keep = [c for c in df.columns if c not in (text, out)]
+    return df.select(*keep, _ends(F.col(text)).alias(out))
+
+
 def sentences(df: DataFrame, text: str, out: str = "end_pos") -> DataFrame:
     """One row per sentence: the columns of df without the text, and ``out``, the sentence's end position.
 
@@ -304,4 +373,4 @@ def sentences(df: DataFrame, text: str, out: str = "end_pos") -> DataFrame:
     through one Arrow function that returns positions, and the rest stays in the JVM.
     """
     keep = [c for c in df.columns if c not in (text, out)]
-    return df.select(*keep, F.explode(_ends(F.col(text))).alias(out))
+    return sentence_arrays(df.select(*keep, text), text, "_ends").select(*keep, F.explode("_ends").alias(out))

@@ -7,6 +7,7 @@ of all texts of a batch at once, without walking any text from its start.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,14 +31,17 @@ _GAPS = {
 }
 
 
-def units(text: str, level: str) -> list[tuple[int, int]]:
-    """Start and end of the units of a text at a level, without the blanks between them."""
+def units(text: str, level: str, most: int = 1) -> list[tuple[int, int]]:
+    """Start and end of the units of a text at a level, without the blanks between them.
+
+    At level ``none`` the units are words, and what is longer than ``most`` in parts of at most ``most`` characters.
+    """
     n = len(text)
     if level == "sentence":
         ends = sentence_ends(text)
         starts = [0, *ends[:-1]]
     elif level == "none":
-        return [(i, i + 1) for i in range(n)]
+        return [(i, min(i + most, e)) for s, e in units(text, "word") for i in range(s, e, most)]
     else:
         gaps = [(m.start(), m.end()) for m in _GAPS[level].finditer(text)]
         starts, ends = [0, *[e for _, e in gaps]], [*[s for s, _ in gaps], n]
@@ -106,12 +110,13 @@ def pieces(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> list
     """Per text its pieces as (start, fresh, end): from start to fresh is the end of the piece before, at most ``overlap``.
 
     A piece takes as many units as leave room for a whole overlap; a unit larger than that takes a shorter overlap.
-    Overlaps start at a word where they can. Texts within the limit are one piece; texts that show nothing are too.
+    Overlaps start at a word where they can. A word longer than a piece is cut at equal steps, the largest that divide the
+    limit and the room beside an overlap. Texts within the limit are one piece; texts that show nothing are too.
     """
     levels, at = coarsest(texts, limit)
     out: list[list[tuple[int, int, int]]] = [[(0, 0, len(t))] for t in texts]
     big = [i for i, t in enumerate(texts) if len(t) > limit]
-    all_units = [at.get(i) if i in at else units(texts[i], "none") for i in big]
+    all_units = [at.get(i) if i in at else units(texts[i], "none", math.gcd(limit, limit - overlap)) for i in big]
     b = Boundaries([u or [(0, len(texts[i]))] for i, u in zip(big, all_units)], limit)
     with_room, without = b.successors(limit - overlap), b.successors(limit)
     successor = np.where(with_room > np.arange(len(with_room)), with_room, without)
@@ -163,6 +168,7 @@ def split_oversized(df: DataFrame, id_col: str, group: str, order: str, text: st
     """
     scratch = Scratch(df.sparkSession)
     rows = df.select(id_col, group, order, *keep, F.col(text).alias("text")).where((F.length("text") > 0) & F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    rows = scratch.save(rows, "rows")  # read twice: to be cut, and to be joined with the cuts
     kind = {c: t for c, t in df.dtypes}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -104,8 +104,7 @@ class FragmentEncoder:
 def encode_corpus(df: DataFrame, id_col: str, text: str, vocabulary: str = VOCABULARY, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """id_col and ids (array<int>): the ids of each text without special tokens; text that resembles one is plain text.
 
-    Empty and null texts give an empty list. One row for each row of df; ids must be unique among texts of more than
-    ``block_chars`` characters. Ordinary texts are encoded where they are read; only blocks of long ones are shuffled.
+    Empty and null texts give an empty list. One row for each row of df, repeated ids too. Ordinary texts are encoded where they are read; only blocks of long ones are shuffled.
     """
     spark = df.sparkSession
     ranks = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
@@ -127,14 +126,15 @@ def encode_corpus(df: DataFrame, id_col: str, text: str, vocabulary: str = VOCAB
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, t in zip(b.column(0), b.column(1).to_pylist()):
+            for row, key, t in zip(b.column(0), b.column(1), b.column(2).to_pylist()):
                 for n, piece in enumerate(encoder().blocks(t, block_chars)):
-                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], b.schema.field(0).type), pa.array([n], pa.int32()), pa.array([piece])], names=["id", "block", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()], pa.int64()), pa.array([key.as_py()], b.schema.field(1).type), pa.array([n], pa.int32()), pa.array([piece])], names=["row", "id", "block", "text"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     long = F.coalesce(F.length("text") > block_chars, F.lit(False))
     short = rows.where(~long).mapInArrow(encode, f"id {kind}, ids array<int>")
-    blocks = rows.where(long).mapInArrow(split, f"id {kind}, block int, text string").repartition("id", "block")
-    parts = blocks.mapInArrow(encode, f"id {kind}, block int, ids array<int>")
-    whole = parts.groupBy("id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "ids"))), lambda x: x["ids"])).alias("ids"))
+    # a row's number, so that rows of one id stay apart: fixed by where the row is read
+    blocks = rows.where(long).select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(split, f"row bigint, id {kind}, block int, text string").repartition("row", "block")
+    parts = blocks.mapInArrow(encode, f"row bigint, id {kind}, block int, ids array<int>")
+    whole = parts.groupBy("row").agg(F.first("id").alias("id"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "ids"))), lambda x: x["ids"])).alias("ids")).drop("row")
     return short.unionByName(whole).withColumnRenamed("id", id_col)

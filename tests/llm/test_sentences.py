@@ -45,3 +45,22 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, "A b. C d.", 5), (2, None, 5), (1, "A b. C d.", 5)], "doc_id long, text string, end_pos int")
     assert sorted(map(tuple, sentences(df, "text").collect())) == [(1, 4), (1, 4), (1, 9), (1, 9)]
     assert sentences(df.limit(0), "text").collect() == []
+
+
+def test_far_starts_change_nothing(monkeypatch):
+    """Comparing far starts by their best alone gives what comparing all starts gives."""
+    import random
+
+    from quillspark.llm import sentences as S
+
+    rng = random.Random(8)
+    parts = ["Một câu ", "dài. ", "(x. ", "y) ", "“Ai? ", "nói!” ", "etc. ", "từ " * 40, "「はい。", "」", "次。", '"q. ', 'a." ', "[z. ", "w]. ", "x" * 700 + " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 120))) for _ in range(300)]
+    found = [sentence_ends(t) for t in texts]
+    monkeypatch.setattr(S, "_FAR", 1 << 60)
+    assert found == [sentence_ends(t) for t in texts]
+
+
+def test_long_quotation_is_one_sentence():
+    assert sentence_ends("“" + "một câu ngắn ở đây. " * 10_000 + "”") == [200_002]
+    assert sentence_ends("(" * 20_000 + "a. " + "」" * 20_000) == [40_003]

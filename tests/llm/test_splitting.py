@@ -57,3 +57,9 @@ def test_frames(spark):
     assert [x[0] for x in seven] == list(range(len(seven))) and seven[0][1] == 1 and max(x[2] for x in seven) <= 1000 and {x[1] for x in seven} == {1, 2, 3}
     assert [(r.piece_index, r.overlap) for r in out if r.document_id is None] == [(0, 0)]
     assert S.split_oversized(df.limit(0), "id", "document_id", "chunk_index", "text", []).collect() == []
+
+
+def test_long_words_between_words():
+    (ps,) = S.pieces(["từ " * 100 + "x" * 3_000 + " từ" * 100], 1_000, 150)
+    assert all(e - s <= 1_000 and f - s <= 150 for s, f, e in ps) and ps[0][2] == 1_000 and len(ps) == 5
+    assert len(S.units("y" * 1_000_000, "none", 50)) == 20_000

@@ -29,3 +29,5 @@ def test_corpus(spark):
     got = {r.doc_id: r.ids for r in E.encode_corpus(df, "doc_id", "text", block_chars=100).collect()}
     assert got == {i: e.plain(t) if t else [] for i, t, _ in rows}
     assert E.encode_corpus(df.limit(0), "doc_id", "text").collect() == []
+    twice = E.encode_corpus(df.where("doc_id = 4").unionByName(df.where("doc_id = 4")), "doc_id", "text", block_chars=100).collect()
+    assert [r.ids for r in twice] == [e.plain(rows[3][1])] * 2
