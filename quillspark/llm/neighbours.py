@@ -6,13 +6,14 @@
    quantisation), and centres that tell which vectors lie together.
 3. Each code is split into substrings, each with its own index. By the pigeonhole principle two codes that differ
    in fewer bits than there are substrings agree in one, so probing each index with a code's own substring finds
-   every code within that radius, and many beyond.
+   every code within that radius, and many beyond. Vectors that find fewer than k candidates so probe the
+   substrings at one differing bit too, which doubles the radius.
 4. Buckets with many rows tell nothing apart and are left out of the indexes; their rows are compared exactly.
-5. Candidate pairs are reranked by their cosine in double precision, placed by centre so that a vector travels
-   once for each place that needs it and not once for each pair.
-6. Rows of large buckets, and vectors with fewer than k candidates, are compared with all vectors that may be among
-   their best, in blocks: the sample gives a similarity that the k-th reaches, and the angle around each centre tells
-   which centres have nothing above it.
+5. Candidate pairs whose codes differ in at most 5/16 of their bits are reranked by their cosine in double precision,
+   placed by centre so that a vector travels once for each place that needs it and not once for each pair.
+6. Rows of large buckets, and vectors that still have fewer than k candidates, are compared with all vectors that may
+   be among their best, in blocks: the sample gives a similarity that the k-th reaches, and the angle around each
+   centre tells which centres have nothing above it.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from quillspark.shared import Scratch
 SAMPLE_ROWS = 20_000
 #: Rows up to which a plan of (substrings, bits each) is used: a few random rows for each bucket.
 PLANS = [(1 << 20, 12, 16), (1 << 24, 18, 20), (1 << 62, 28, 24)]
-#: The rows of a bucket with more rows than this, and than a 5,000th of all, are compared exactly.
+#: The rows of a bucket with more rows than this are compared exactly. It is the same for tables of any size, so a row
+#: meets at most this many others in each index.
 BUCKET_ROWS = 2_000
 #: Share of differing code bits up to which a candidate pair is reranked; 5/16 is a cosine of about 0.55.
 MOST_DIFFERING = 5 / 16
@@ -40,8 +42,8 @@ MOST_DIFFERING = 5 / 16
 CENTRES, PLACE_PAIRS = 256, 400_000
 #: Steps to which the coordinates of a unit vector are rounded to tell directions: finer than 6 decimals of a cosine, coarser than float32.
 DIRECTION_STEPS = 5_000_000
-#: Vectors compared with others in one pass of the blockwise comparison; vectors that they meet at a time.
-BLOCK_ROWS, STRIPE_ROWS = 8_192, 512
+#: Vectors compared with others in one pass of the blockwise comparison; of these at a time; vectors that they meet at a time.
+BLOCK_ROWS, SLICE_ROWS, STRIPE_ROWS = 32_768, 4_096, 512
 
 
 def usable(embedding: str, dims: int) -> Column:
@@ -141,31 +143,58 @@ def encode(vectors: DataFrame, dims: int, coder: Coder) -> DataFrame:
     return vectors.mapInArrow(run, ", ".join([*kinds, *[f"{w} bigint" for w in words], "home int"]))
 
 
-def candidate_pairs(coded: DataFrame, coder: Coder, bucket_rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+def _keys(coder: Coder, bits: list[int]) -> Column:
+    """The index keys of a row's code, with each of the ``bits`` masks applied to every substring."""
+    parts, width, each = coder.parts, coder.width, 64 // coder.width
+    return F.array(*[F.lit(i << width).cast("bigint") + _substring(F.col(f"c{i // each}"), i, width).bitwiseXOR(F.lit(b)) for i in range(parts) for b in bits])
+
+
+def index_rows(coded: DataFrame, coder: Coder, bucket_rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the indexes, one for each substring of a code: gid, home, the code's words, key.
+
+    Buckets with more than ``bucket_rows`` rows are left out; the second frame, gid, has the rows in these, or is None.
+    """
+    rows = coded.select("gid", "home", *_words(coder.parts, coder.width), F.explode(_keys(coder, [0])).alias("key"))
+    # at most substrings * rows / bucket_rows buckets: a table, which Spark broadcasts if it is small
+    large = scratch.save(rows.groupBy("key").count().where(F.col("count") > bucket_rows).select("key"), "large")
+    if not large.limit(1).count():
+        return rows, None
+    dense = scratch.save(skew_join(rows.select("gid", "key"), large, ["key"], "left_semi", spread=["gid"]).select("gid").distinct(), "dense")
+    return skew_join(rows, large, ["key"], "left_anti", spread=["gid"]), dense
+
+
+def _near(left: str, right: str, coder: Coder) -> Column:
+    """Whether two codes differ in few enough bits to be reranked."""
+    apart = [F.col(f"{left}{w}").bitwiseXOR(F.col(f"{right}{w}")) for w in _words(coder.parts, coder.width)]
+    return reduce(Column.__add__, map(F.bit_count, apart)) <= int(coder.parts * coder.width * MOST_DIFFERING)
+
+
+def candidate_pairs(rows: DataFrame, coder: Coder, whole: bool) -> DataFrame:
     """Pairs a < b of codes that agree in some substring: a, b, home_a, home_b. Each pair comes once.
 
-    Buckets with more than ``bucket_rows`` rows give no pairs; the second frame, gid, has the rows in these, or is None.
+    ``rows`` are index rows, whose buckets are bounded. ``whole``: no bucket was left out.
     """
     parts, width, each = coder.parts, coder.width, 64 // coder.width
-    words = _words(parts, width)
-    keys = F.array(*[F.lit(i << width).cast("bigint") + _substring(F.col(f"c{i // each}"), i, width) for i in range(parts)])
-    rows = coded.select("gid", "home", *words, F.explode(keys).alias("key"))
-    # at most substrings * rows / bucket_rows buckets
-    large = scratch.save(rows.groupBy("key").count().where(F.col("count") > bucket_rows).select("key"), "large")
-    dense = None
-    if large.limit(1).count():
-        dense = scratch.save(rows.select("gid", "key").join(F.broadcast(large), "key").select("gid").distinct(), "dense")
-        rows = rows.join(F.broadcast(large), "key", "left_anti").select(rows.columns)
     left = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
     right = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
-    apart = [F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}")) for w in words]
-    on = [F.col("a_key") == F.col("b_key"), F.col("a_gid") < F.col("b_gid")]
-    on.append(reduce(Column.__add__, map(F.bit_count, apart)) <= int(parts * width * MOST_DIFFERING))
-    if dense is None:
+    on = [F.col("a_key") == F.col("b_key"), F.col("a_gid") < F.col("b_gid"), _near("a_", "b_", coder)]
+    if whole:
         for i in range(parts - 1):  # found by an earlier substring
-            on.append((F.col("a_key") < ((i + 1) << width)) | (_substring(apart[i // each], i, width) != 0))
+            apart = F.col(f"a_c{i // each}").bitwiseXOR(F.col(f"b_c{i // each}"))
+            on.append((F.col("a_key") < ((i + 1) << width)) | (_substring(apart, i, width) != 0))
     found = left.join(right, reduce(Column.__and__, on)).select(F.col("a_gid").alias("a"), F.col("b_gid").alias("b"), F.col("a_home").alias("home_a"), F.col("b_home").alias("home_b"))
-    return found if dense is None else found.distinct(), dense
+    return found if whole else found.distinct()
+
+
+def probed_pairs(some: DataFrame, rows: DataFrame, coder: Coder) -> DataFrame:
+    """Pairs of the coded vectors ``some`` with those whose substring differs in one bit: a, b, home_a, home_b, a < b."""
+    words = _words(coder.parts, coder.width)
+    keys = _keys(coder, [1 << b for b in range(coder.width)])
+    left = some.select(F.col("gid").alias("q_gid"), F.col("home").alias("q_home"), *[F.col(w).alias(f"q_{w}") for w in words], F.explode(keys).alias("key"))
+    hit = left.join(rows, "key").where((F.col("q_gid") != F.col("gid")) & _near("q_", "", coder))
+    first = F.col("q_gid") < F.col("gid")
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    return hit.select(pick("q_gid", "gid", "a"), pick("gid", "q_gid", "b"), pick("q_home", "home", "home_a"), pick("home", "q_home", "home_b")).distinct()
 
 
 def _best(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
@@ -307,7 +336,8 @@ def against_all(queries: DataFrame, vectors: DataFrame, dims: int, k: int, coder
                 inside = order[group[order] == g]
                 for i in range(0, len(inside), STRIPE_ROWS):
                     s = inside[i : i + STRIPE_ROWS]
-                    best.meet(ids[s], x[s], asking[g])
+                    for at in range(0, len(asking[g]), SLICE_ROWS):
+                        best.meet(ids[s], x[s], asking[g][at : at + SLICE_ROWS])
         yield pa.RecordBatch.from_arrays(list(map(pa.array, best.found())), names=["src", "dst", "sim"])
 
     # few tasks: each returns up to k rows for a query
@@ -355,48 +385,63 @@ def _groups(firsts: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     return scratch.save(outside.unionByName(inside), "groups")
 
 
-def most_similar(df: DataFrame, id_col: str, embedding: str, k: int = 10, dims: int = 64, bucket_rows: int | None = None) -> DataFrame:
+def most_similar(df: DataFrame, id_col: str, embedding: str, k: int = 10, dims: int = 64, bucket_rows: int = BUCKET_ROWS, plan: tuple[int, int] | None = None) -> DataFrame:
     """The k most similar others of every row with a usable embedding: id, other, sim, rank from 1.
 
     Usable is an embedding of ``dims`` finite numbers that aren't all zero; other rows, and rows without id, are left
-    out. Rows repeated
-    under one id count once. Similarity is the cosine in double precision rounded to 6 decimals, ties go to the
-    smaller id. Copies, exact or scaled, are each other's neighbours like any rows. Fewer than k others exist only where the
-    table has no more. An empty table gives an empty result.
-
-    The search is approximate in one way: a true neighbour whose code differs in every
-    substring may be missed, as long as k other candidates are found. Vectors of dense clouds, which lie in large
-    buckets, have their exact neighbours; the time for a cloud grows with the square of its rows.
+    out. Rows repeated under one id count once. Similarity is the cosine in double precision rounded to 6 decimals, ties
+    go to the smaller id. Copies, exact or scaled, are each other's neighbours like any rows. Fewer than k others exist
+    only where the table has no more. An empty table gives an empty result.
+
+    ``plan`` is the number of substrings and the bits of each; by default both grow with the rows, so that a bucket
+    holds a few random ones. The search is approximate: a true neighbour is missed if its code agrees in no substring,
+    or differs in more than 5/16 of its bits, while k other candidates are found. Rows in buckets of more than
+    ``bucket_rows`` rows, and rows with too few candidates, have their exact neighbours; the time for a dense cloud grows
+    with the square of its rows.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = df.where(usable(embedding, dims) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(embedding).cast("array<float>").alias("v"))
     digests = rows.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).distinct()
     firsts = rows.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), direction("v").alias("d")).distinct()
-    firsts = firsts.groupBy("h1", "h2", "d").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("n"))
-    firsts = _groups(scratch.save(firsts, "firsts"), k, scratch)
-    copies = scratch.save(digests.join(firsts.where("n > 1"), ["h1", "h2"]).select("id", "gid"), "copies")
-    vectors = rows.withColumnRenamed("id", "gid").join(firsts.select("gid", "n").distinct(), "gid").dropDuplicates(["gid"])
+    firsts = scratch.save(firsts.groupBy("h1", "h2", "d").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("n")), "firsts")
+    groups = _groups(firsts, k, scratch)
+    copies = scratch.save(digests.join(groups.where("n > 1"), ["h1", "h2"]).select("id", "gid"), "copies")
+    vectors = rows.withColumnRenamed("id", "gid").join(groups.select("gid", "n").distinct(), "gid").dropDuplicates(["gid"])
     vectors = scratch.save(vectors, "vectors")
+    scratch.drop(firsts)
     n = vectors.count()
-    _, parts, width = next(p for p in PLANS if n <= p[0])
+    parts, width = plan or next(p[1:] for p in PLANS if n <= p[0])
     sample = vectors.orderBy(F.xxhash64("gid")).limit(SAMPLE_ROWS).select("v").toArrow()
     coder = Coder(_matrix(sample.column("v"), dims), dims, parts, width)
     coded = scratch.save(encode(vectors, dims, coder), "coded")
     scratch.drop(vectors)
-    pairs, dense = candidate_pairs(coded, coder, bucket_rows or max(BUCKET_ROWS, n // 5_000), scratch)
-    pairs = scratch.save(pairs, "pairs")
+    index, dense = index_rows(coded, coder, bucket_rows, scratch)
     vectors = coded.select("gid", "v", "n", "home")
     by, whole = Window.partitionBy("src").orderBy(F.desc("sim"), "dst"), Window.partitionBy("src")
     top = lambda df: df.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    best = top(rerank(pairs, vectors, dims, k)).withColumn("copied", F.max("copied").over(whole)).withColumn("found", F.count(F.lit(1)).over(whole))
-    best = scratch.save(best, "best")
-    scratch.drop(pairs)
+    counted = lambda df: top(df).withColumn("copied", F.max("copied").over(whole)).withColumn("found", F.count(F.lit(1)).over(whole))
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.save(pairs, "pairs")
+        out = scratch.save(counted(rerank(pairs, vectors, dims, k)), "best")
+        scratch.drop(pairs)
+        return out
+
+    def short_of(best: DataFrame) -> DataFrame:
+        full = best.where((F.col("rank") == 1) & (F.col("found") >= min(k, max(n - 1, 0)))).select(F.col("src").alias("gid"))
+        return (full if dense is None else full.join(dense, "gid", "left_anti")).distinct()
+
+    best = ranked(candidate_pairs(index, coder, dense is None))
+    few = coded.join(short_of(best), "gid", "left_anti")
+    few = scratch.save(few if dense is None else few.join(dense, "gid", "left_anti"), "few")
+    if few.limit(1).count():
+        more = ranked(probed_pairs(few, index, coder)).select("src", "dst", "sim", "copied")
+        asked = few.select(F.col("gid").alias("src"))
+        again = best.join(asked, "src", "left_semi").select("src", "dst", "sim", "copied").unionByName(more.join(asked, "src", "left_semi")).dropDuplicates(["src", "dst"])
+        best = scratch.save(best.join(asked, "src", "left_anti").unionByName(counted(again).select(best.columns)), "best")
     # vectors with too few candidates, and those in large buckets, are compared with all others that may be nearer
-    full = best.where((F.col("rank") == 1) & (F.col("found") >= min(k, max(n - 1, 0)))).select(F.col("src").alias("gid"))
-    if dense is not None:
-        full = full.join(dense, "gid", "left_anti")
-    rest = scratch.save(vectors.join(full, "gid", "left_anti"), "rest")
+    rest = scratch.save(vectors.join(short_of(best), "gid", "left_anti"), "rest")
     best = best.drop("found")
     if rest.limit(1).count():
         rest, blocks = _blocks(rest)

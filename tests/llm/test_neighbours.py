@@ -95,3 +95,11 @@ def test_blockwise_nearest_against_brute_force():
         best.meet(ids[s], x[s], np.arange(1_000))
     want = brute(ids.tolist(), x, 4)
     assert all(best.others[a].tolist() == [j for _, j in want[i]] for a, i in enumerate(ids.tolist()))
+
+
+def test_probing_reaches_loose_neighbours(spark):
+    """Vectors that find too few candidates by their own substrings find more at one differing bit; every plan keeps its recall."""
+    rng = np.random.default_rng(9)
+    x = np.vstack([c + 0.35 * rng.standard_normal((12, 24)) for c in rng.standard_normal((20, 24))]).astype(np.float32)
+    for plan in ((12, 16), (18, 20), (28, 24)):
+        assert recall(spark, x, 5, plan=plan) > 0.9, plan
