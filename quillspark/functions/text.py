@@ -3,17 +3,37 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 # Words that carry no meaning for search.
-STOPWORDS = """là và của có cho các một những được trong khi với này đó thì mà ở ra vào về từ theo như nào gì sao hãy tại nên cần
-phải hay hoặc để đến bởi vì do bị rất cũng đã đang sẽ không chỉ trên dưới lại ta tôi bạn em""".split()
-WORD = r"[\p{L}\p{N}_]+"
-MATH_SIGNS = r"[∑√∏∫∈≤≥≠≈→×÷±∞]"
+STOPWORDS = """và là của có các được cho trong với khi này đó một những đến từ theo để ra vào thì mà hay hoặc nếu vì do bởi nên
+cũng đã sẽ đang rồi tại trên dưới về như thế ở bằng lại nó rằng phải không chỉ còn đây kia ấy""".split()
+# Signs that make a line a formula, and what hints at mathematics in a line.
+MATH_SIGNS = "[∑√∏∫≤≥≠⇒⇐→←±·×÷∈∀∅∩∪⊆⊇≡∇∂]"
+FORMULA = MATH_SIGNS + r"|\)/\(|\$"
+MATH_HINT = r"[∑√∏∫≤≥≠⇒⇐→←±·×÷∈∀∅∩∪⊆≡]|\)/\(|/\{|\^\{|_\{|="
+# Lines that read like headings: numbered, Roman, steps, and by their first words.
+NUMBERED = r"^(\d+(?:\.\d+){0,3})\s+(\S.*)$"
+ROMAN = r"^([IVXLCDM]{1,5})\.\s*(\S.*)$"
+STEP = r"(?i)^(Bước\s+\d+)\s*[:.\-]?\s*(\S.*)$"
+KEYWORD = r"(?i)^(Mục\s*lục|Phụ\s*lục|Tài\s*liệu\s*tham\s*khảo|Kết\s*luận|Giới\s*thiệu|Tổng\s*kết)\b"
+# Greetings and small talk, which need no retrieval.
+GREETING = (
+    r"(?i)^\s*(xin\s*chào|hello|hi+|hey+|chào\s+bạn|cảm\s*ơn|thanks|thank\s*you|tạm\s*biệt|goodbye|bye|bạn\s+là\s+ai[?!]*"
+    r"|bạn\s+có\s+thể\s+làm\s+gì[?!]*|trợ\s+lý|đang\s+sẵn\s*sàng|ok[?!.]*|okay[?!.]*)[\s.!?]*$"
+)
+# What ends a line.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+# Glyph codes of damaged fonts, and a damaged root sign.
+GLYPH_CODE, ROOT_GLYPH = r"\(cid:\d+\)", "\uf8e6"
+WORD, COMPOUND = r"[\p{L}\p{N}_]+", "_|[a-z0-9][A-Z]"
+#: Characters that canonical composition may change or join with the one before; all others stay as they are.
+COMPOSES = r"[\p{M}\x{340}-\x{345}\x{374}\x{37e}\x{387}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}\x{a36}\x{a59}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{fb9}\x{1100}-\x{11ff}\x{1f71}-\x{1fff}\x{2000}\x{2001}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{2adc}\x{f900}-\x{faff}\x{fb1d}-\x{fb4f}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1f}]"
 
 
 def _nfc(s: pd.Series) -> pd.Series:
@@ -21,14 +41,14 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(col) -> Column:
-    """Canonical composition; ASCII texts, the common case, don't leave the JVM."""
+    """Canonical composition; texts that it can't change, the common case, don't leave the JVM."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.when(c.rlike(r"[^\x00-\x7f]"), F.pandas_udf(_nfc, StringType())(c)).otherwise(c)
+    return F.when(c.rlike(COMPOSES), F.pandas_udf(_nfc, StringType())(c)).otherwise(c)
 
 
 def clean_artifacts(c: Column) -> Column:
     """Glyph codes of damaged fonts become blanks, the private root sign a real one."""
-    return F.replace(F.regexp_replace(c, r"\(cid:\d+\)", " "), F.lit(""), F.lit("√"))
+    return F.replace(F.regexp_replace(c, GLYPH_CODE, " "), F.lit(ROOT_GLYPH), F.lit("√"))
 
 
 def normalize(col) -> Column:
@@ -38,8 +58,7 @@ def normalize(col) -> Column:
 
 def normalize_structure(col) -> Column:
     """Composed and cleaned, blanks collapsed in each line, at most one blank line in a row."""
-    c = F.regexp_replace(clean_artifacts(nfc(col)), r"\r\n?", "\n")
-    lines = F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
+    lines = F.transform(F.split(clean_artifacts(nfc(col)), LINE_END), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 
 
@@ -55,13 +74,22 @@ def subwords(token: Column) -> Column:
     return F.filter(F.transform(apart, lambda x: F.lower(x)), lambda x: F.length(x) > 1)
 
 
-def search_tokens(col) -> Column:
-    """Words without stopwords, each followed by its own parts where it is a compound."""
-    c = F.col(col) if isinstance(col, str) else col
-    raw = F.coalesce(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
-    kept = F.filter(raw, lambda t: ~F.replace(F.lower(t), F.lit("_"), F.lit(" ")).isin(*STOPWORDS) & t.rlike(r"[\p{L}\p{N}]"))
+def search_tokens(col, segmented: Callable[[Column], Column] | None = None) -> Column:
+    """Search terms of a text: composed lower-case words without stopwords, each followed by its own parts where it is a compound.
+
+    ``segmented`` is a word segmenter that joins the syllables of a word by underscores; without one, words are runs of
+    letters, digits and underscores. Null gives none.
+    """
+    c = nfc(col)
+    if segmented is not None:
+        c = segmented(c)
+    none = F.array().cast("array<string>")
+    found = lambda x: F.coalesce(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)), none)
+    kept = F.filter(found(c), lambda t: ~F.replace(F.lower(t), F.lit("_"), F.lit(" ")).isin(*STOPWORDS))
     parts = lambda t: F.filter(subwords(t), lambda p: (p != F.lower(t)) & ~p.isin(*STOPWORDS))
-    return F.flatten(F.transform(kept, lambda t: F.concat(F.array(F.lower(t)), parts(t))))
+    compound = F.flatten(F.transform(kept, lambda t: F.concat(F.array(F.lower(t)), F.when(t.rlike(COMPOUND), parts(t)).otherwise(none))))
+    # most texts have no compound
+    return F.when(c.rlike(COMPOUND), compound).otherwise(F.filter(found(F.lower(c)), lambda t: ~t.isin(*STOPWORDS)))
 
 
 def index_text(title: Column, section: Column, text: Column) -> Column:
@@ -71,24 +99,20 @@ def index_text(title: Column, section: Column, text: Column) -> Column:
 
 
 def heading_label(line: Column) -> Column:
-    """The canonical label of a line that reads like a heading, else null."""
-    t = F.trim(line)
-    step = F.regexp_extract(t, r"^(Bước\s+\d+)\s*[-:.–]?\s*(.*)$", 1)
-    return F.coalesce(
-        F.when(t.rlike(r"^\d+(\.\d+){0,3}\.?\s+\S"), t),
-        F.when(t.rlike(r"^[IVXLCDM]{1,5}\.\s*\S"), t),
-        F.when(step != "", F.concat(step, F.lit(": "), F.regexp_extract(t, r"^(Bước\s+\d+)\s*[-:.–]?\s*(.*)$", 2))),
-        F.when(t.rlike(r"^(Điều|Chương|Mục|Phần)\s+\d+"), t),
-    )
+    """The label of a line that reads like a heading (numbered, Roman, step, keyword), else null."""
+    t = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    of = lambda pattern, joint: F.when(t.rlike("(?U)" + pattern), F.concat(F.regexp_extract(t, "(?U)" + pattern, 1), F.lit(joint), F.regexp_extract(t, "(?U)" + pattern, 2)))
+    return F.coalesce(of(NUMBERED, " "), of(ROMAN, ". "), of(STEP, ": "), F.when(t.rlike("(?U)" + KEYWORD), t))
 
 
 def has_math(line: Column) -> Column:
-    return line.rlike(r"[=+*/^]|" + MATH_SIGNS)
+    """Whether a line holds a hint of mathematics, and so is no heading."""
+    return line.rlike(MATH_HINT)
 
 
 def is_atomic_line(line: Column) -> Column:
     """Whether a line must not be cut: a table row, a table mark, a formula."""
-    return line.startswith("[BẢNG]") | line.contains(" | ") | line.rlike(MATH_SIGNS) | line.contains(")/(") | line.contains("$")
+    return line.startswith("[BẢNG]") | line.contains(" | ") | line.rlike(FORMULA)
 
 
 def content_key(model: Column, text: Column) -> Column:
@@ -112,4 +136,14 @@ def read_json(raw: Column) -> Column:
 
 
 def is_greeting(text: Column) -> Column:
-    return text.rlike(r"(?iu)^\s*(xin\s+chào|chào(\s+(bạn|em|anh|chị))?|hello|hi|hey|cảm\s+ơn|thanks?|thank\s+you|tạm\s+biệt|bye)[\s!.,?]*$")
+    """Whether a text is nothing but a greeting or small talk."""
+    return text.rlike("(?U)" + GREETING)
+
+
+def python_round(value: Column, digits: int) -> Column:
+    """A double rounded as its exact binary value says, ties to even; null stays null."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: round(x, digits), na_action="ignore")
+
+    return F.pandas_udf(run, DoubleType())(value)

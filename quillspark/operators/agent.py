@@ -38,6 +38,10 @@ class Providers:
     relevant: Callable[[Column], Column] = field(default=lambda share: share >= 0.5)
     #: Whether a note is grounded in its passage; without a judge it counts as grounded.
     grounded: Callable[[Column], Column] = field(default=lambda share: F.lit(True))
+    #: Whether the grounded notes of a question, by their number, suffice; asked only where there is one. Without a judge they do.
+    sufficient: Callable[[Column], Column] = field(default=lambda notes: F.lit(True))
+    #: Claims of an answer that its context doesn't support, from the answer and the number of passages; without a judge none.
+    unsupported: Callable[[Column, Column], Column] = field(default=lambda answer, n_context: F.array().cast("array<string>"))
 
 
 def route(questions: DataFrame, question: str, providers: Providers = Providers(), index_ready: bool = True) -> DataFrame:
@@ -88,34 +92,52 @@ def select_context(pool: DataFrame, query_id: str, limit: Column) -> DataFrame:
     return one.withColumn("label", F.row_number().over(w)).where(F.col("label") <= limit)
 
 
+def check_answer(answers: DataFrame, answer_col: str, n_context: str, providers: Providers = Providers()) -> DataFrame:
+    """answers with ``verified`` and ``reason``: no claim is unsupported, or the unsupported ones joined by semicolons."""
+    claims = providers.unsupported(F.col(answer_col), F.col(n_context))
+    return answers.withColumn("verified", F.size(claims) == 0).withColumn("reason", F.array_join(claims, "; "))
+
+
+def second_half(question: Column) -> Column:
+    """The words of a question from the middle on, all but the first where it has two or three; the offline replan of a failed subquestion."""
+    words = F.split(question, r"\s+")
+    at = F.greatest(F.floor(F.size(words) / 2), F.lit(1)).cast("int")
+    return F.array_join(F.slice(words, at, F.size(words)), " ")
+
+
+def stop_reason(failed: Column, before: Column, sufficient: Column, last: bool) -> Column:
+    """Why a question's loop ends after a round, or null: converged, sufficient, early_stop, max_iters, checked in this order."""
+    why = F.when(failed == 0, "converged").when(sufficient, "sufficient").when(failed >= before, "early_stop")
+    return F.coalesce(why, F.lit("max_iters")) if last else why
+
+
 def answer(questions: DataFrame, query_id: str, question: str, retrieve: Callable[[DataFrame], DataFrame], settings: Settings, providers: Providers = Providers()) -> tuple[DataFrame, DataFrame]:
-    """Answers (query_id, route, iterations, stopped, n_steps, n_failed, partial, n_context, answer) and citations.
+    """Answers (query_id, route, iterations, stopped, n_steps, n_failed, partial, n_context, answer, verified, reason) and citations.
 
-    A question's loop ends when all its steps are relevant and grounded (converged), when a round failed as many steps
-    as the one before (early_stop), or after the last round (max_iters). A replan asks the failed subquestions again
-    by their rarest halves: their words from the middle on. Steps are kept by subquestion, the latest counts.
+    A simple question is retrieved for once. A complex one's loop ends when all its steps are relevant and grounded
+    (converged), when its grounded notes suffice (sufficient), when a round failed as many steps as the one before
+    (early_stop), or after the last round (max_iters); ``iterations`` counts the replans. A replan asks the failed
+    subquestions again by their words from the middle on. Steps are kept by subquestion, the latest counts.
     """
     scratch = Scratch(questions.sparkSession)
     routed = scratch.save(plan(route(questions, question, providers), question, settings, providers), "planned")
     open_ = routed.where("route != 'no_retrieval'").select(query_id, "route", "subquestions").withColumn("before", F.lit(None).cast("long"))
     pools, ended, all_steps = [], [], []
-    for n in range(1, settings.max_replan_iters + 1):
+    for n in range(settings.max_replan_iters):
         pool, judged = steps(open_, query_id, retrieve, providers)
         pools.append(scratch.save(pool.withColumn("round", F.lit(n)), "pool"))
-        judged = scratch.save(judged.withColumn("round", F.lit(n)), "steps")
+        judged = scratch.save(judged.join(open_.where("route = 'complex'").select(query_id), query_id, "left_semi").withColumn("round", F.lit(n)), "steps")
         all_steps.append(judged)
         good = F.col("relevant") & F.col("grounded")
-        state = judged.groupBy(query_id).agg(F.count_if(~good).alias("failed"), F.sort_array(F.collect_list(F.struct("sub", good.alias("ok"), "subquestion"))).alias("s"))
-        state = scratch.save(open_.join(state, query_id), "state")
-        why = F.when(F.col("failed") == 0, "converged").when(F.col("failed") >= F.col("before"), "early_stop")
-        if n == settings.max_replan_iters:
-            why = F.coalesce(why, F.lit("max_iters"))
-        state = state.withColumn("stopped", why)
+        state = judged.groupBy(query_id).agg(F.count_if(~good).alias("failed"), F.count_if(good).alias("notes"), F.sort_array(F.collect_list(F.struct("sub", good.alias("ok"), "subquestion"))).alias("s"))
+        enough = (F.col("notes") > 0) & providers.sufficient(F.col("notes"))
+        why = stop_reason(F.col("failed"), F.col("before"), enough, n + 1 == settings.max_replan_iters)
+        state = scratch.save(open_.join(state, query_id).withColumn("stopped", why), "state")
         ended.append(state.where("stopped is not null").select(query_id, F.lit(n).alias("iterations"), "stopped"))
         again = state.where("stopped is null")
-        if n == settings.max_replan_iters or not again.limit(1).count():
+        if n + 1 == settings.max_replan_iters or not again.limit(1).count():
             break
-        failed = F.transform(F.filter("s", lambda x: ~x["ok"]), lambda x: F.array_join(F.slice(F.split(x["subquestion"], r"\s+"), F.greatest(F.floor(F.size(F.split(x["subquestion"], r"\s+")) / 2), F.lit(1)).cast("int"), 200), " "))
+        failed = F.transform(F.filter("s", lambda x: ~x["ok"]), lambda x: second_half(x["subquestion"]))
         merged = merge_subquestions(F.transform("s", lambda x: x["subquestion"]), F.transform("s", lambda x: x["ok"]), failed, settings.max_subquestions)
         open_ = scratch.save(again.select(query_id, "route", merged.alias("subquestions"), F.col("failed").cast("long").alias("before")), "open")
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
@@ -129,6 +151,7 @@ def answer(questions: DataFrame, query_id: str, question: str, retrieve: Callabl
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     text = F.when(F.col("route") == "no_retrieval", "Xin chào!").when(F.coalesce("n_context", F.lit(0)) == 0, NOT_FOUND).otherwise(F.concat(F.lit("Theo tài liệu "), "marks"))
     answers = out.select(query_id, "route", zero("iterations"), "stopped", zero("n_steps"), zero("n_failed"), (F.coalesce("n_failed", F.lit(0)) > 0).alias("partial"), zero("n_context"), text.alias("answer"))
+    answers = check_answer(answers, "answer", "n_context", providers)
     cited = context.join(answers.select(query_id, "answer"), query_id)
     citations = cited.select(query_id, "label", "doc_id", "score", F.array_contains(X.cited_labels(F.col("answer")), F.col("label")).alias("cited"))
     return answers, citations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -9,28 +10,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-#: After ? ! and a blank; after . ; and a blank before a capital, unless the point follows a capitalised word.
-SENTENCE_GAP = r"(?<=[?!])\s+|(?<=;)\s+(?=\p{Lu})|(?<=\.)(?<!(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{N}]{0,20}\.)\s+(?=\p{Lu})"
-_CAPITALISED = re.compile(r"(?:^|[^\w])([^\W\d_]\w*)\.$")
-_ATOMIC = re.compile(r"^\[BẢNG\]| \| |[∑√∏∫∈≤≥≠≈→×÷±∞]|\)/\(|\$")
+from quillspark.functions import text as X
+
+# Capitals that may start a sentence; those that may start an abbreviation, and the letters it goes on with.
+_UPPER = "A-ZÀÁẠẢÃÂẦẤẬẨẪĂẰẮẶẲẴĐÉÈẺẼÊỀẾỆỂỄÍÌỊỈĨÓÒỌỎÕÔỒỐỘỔỖƠỜỚỢỞỠƯỜỨỰỬỮÚÙỤỦŨƯỪỨỰỬỮÝỲỴỶỸ"
+_SHORT = "A-ZĐÀÁẠẢÃ"
+_LOWER = "a-zàáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹ"
+#: A capital with small letters and a point: no sentence ends behind it.
+ABBREVIATION = rf"\b([{_SHORT}][{_LOWER}]*\.) "
+#: Blanks after ? or !; after . or ; before a capital; blank lines.
+GAP = rf"(?<=[?!])\s+|(?<=[.;])\s+(?=[{_UPPER}])|\n{{2,}}"
+_ATOMIC = re.compile(r"^\[BẢNG\]| \| |" + X.FORMULA)
 
 
 def sentences(col: Column) -> Column:
-    """Sentences of one run of prose, in the JVM."""
-    return F.filter(F.split(F.trim(col), SENTENCE_GAP), lambda x: x != "")
+    """Sentences of one run of prose, in the JVM. A blank run has none."""
+    kept = F.split(F.regexp_replace(col, "(?U)" + ABBREVIATION, "$1\0"), "(?U)" + GAP)
+    trimmed = F.transform(kept, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), "\0", " "))
+    return F.filter(trimmed, lambda x: x != "")
 
 
 def _prose(text: str) -> list[str]:
-    out, at = [], 0
-    for m in re.finditer(r"(?<=[?!.;])\s+", text):
-        head, nxt = text[at : m.start()], text[m.end() : m.end() + 1]
-        if head[-1:] in ".;" and not nxt.isupper():
-            continue
-        if head[-1:] == "." and (w := _CAPITALISED.search(head)) and w.group(1)[0].isupper():
-            continue
-        out.append(head)
-        at = m.end()
-    return [s for s in [*out, text[at:]] if s.strip()] or [text]
+    kept = re.sub(ABBREVIATION, "\\1\0", text)
+    return [s.replace("\0", " ") for s in map(str.strip, re.split(GAP, kept)) if s]
 
 
 def units(text: str) -> list[tuple[str, bool]]:
@@ -44,7 +46,7 @@ def units(text: str) -> list[tuple[str, bool]]:
             out.extend([("\n".join(run), True)] if kind else [(s, False) for s in _prose(" ".join(run))])
             run.clear()
 
-    for line in map(str.strip, text.split("\n")):
+    for line in map(str.strip, text.splitlines()):
         atomic = bool(_ATOMIC.search(line))
         if not line or atomic != kind:
             flush()
@@ -56,50 +58,48 @@ def units(text: str) -> list[tuple[str, bool]]:
 
 
 def fragments(text: str, most: int) -> list[str]:
-    """A long sentence in parts: cut behind the last , ; ) after two fifths of the limit, else at the limit."""
-    out = []
-    while len(text) > most:
-        cut = max(text.rfind(c, int(most * 0.4), most) for c in ",;)") + 1
-        cut = cut or most
-        out.append(text[:cut].strip())
-        text = text[cut:].strip()
-    return [*out, text] if text else out
+    """A sentence of ``most`` characters or more in parts: cut behind the last , ; ) from two fifths of the limit on, else at the limit."""
+    out, at = [], 0
+    while len(text) - at >= most:
+        cut = max(text.rfind(c, at + math.ceil(most * 0.4), at + most) for c in ",;)") + 1 or at + most
+        out.append(text[at:cut].strip())
+        at = cut
+    return [p for p in [*out, text[at:].strip()] if p]
 
 
 def pack(items: list[tuple[str, bool]], most: int, overlap: int) -> list[str]:
-    """Greedy chunks. A chunk starts with the whole trailing units of the one before that fit the overlap; atomic units stay whole."""
+    """Greedy chunks of units joined by blanks, each unit counted with one blank.
+
+    A chunk starts with the trailing units of the one before that fit the overlap, blanks between them counted. Atomic
+    units stay whole; longer prose starts a chunk of its own and is cut into fragments.
+    """
     out: list[str] = []
-    now: list[tuple[str, bool]] = []
-    size = lambda us: sum(len(u) + 1 for u, _ in us) - 1 if us else 0
+    now: list[str] = []
+    used = 0
 
     def flush() -> None:
-        text = now[0][0]
-        for (u, a), (_, before) in zip(now[1:], now):
-            text += ("\n" if a or before else " ") + u
-        if text.strip():
-            out.append(text)
-        tail, used = [], 0
-        for u, a in reversed(now):
-            used += len(u) + 1
-            if used > overlap:
-                break
-            tail.insert(0, (u, a))
-        now[:] = tail
+        nonlocal now, used
+        out.append(" ".join(now).strip())
+        first, used = len(now), 0
+        while first and used + len(now[first - 1]) <= overlap:
+            first -= 1
+            used += len(now[first]) + 1
+        now = now[first:]
 
     for unit, atomic in items:
+        parts = [unit]
         if len(unit) > most and not atomic:
             if now:
                 flush()
-            parts = [(p, False) for p in fragments(unit, most)]
-        else:
-            parts = [(unit, atomic)]
+            parts = fragments(unit, most)
         for p in parts:
-            if now and size(now) + 1 + len(p[0]) > most:
+            if now and used + len(p) + 1 > most:
                 flush()
             now.append(p)
+            used += len(p) + 1
     if now:
-        flush()
-    return out
+        out.append(" ".join(now).strip())
+    return [c for c in out if c]
 
 
 def chunk_text(most: int, overlap: int):
@@ -114,7 +114,20 @@ def chunk_blocks(blocks: DataFrame, keys: list[str], text: str, most: int, overl
     return blocks.select(*keys, F.posexplode(chunk_text(most, overlap)(F.col(text))).alias("piece", "text"))
 
 
+def chunks_of(blocks: DataFrame, doc: str, order: str, text: str, embed: str, most: int, overlap: int) -> DataFrame:
+    """Chunks of documents: doc, order, piece, text, embed_text.
+
+    If any block of a document brings a text to embed, all its blocks are chunks as they are, the blank ones left out;
+    the blocks of other documents are packed.
+    """
+    ready = blocks.groupBy(doc).agg(F.max(F.coalesce(F.col(embed), F.lit("")) != "").alias("_ready"))
+    marked = blocks.select(doc, order, F.col(text).alias("text"), F.col(embed).alias("embed_text")).join(ready, doc)
+    whole = marked.where("_ready").where(F.col("text").rlike(r"\S")).select(doc, order, F.lit(0).alias("piece"), "text", "embed_text")
+    packed = chunk_blocks(marked.where("not _ready"), [doc, order], "text", most, overlap).withColumn("embed_text", F.lit(None).cast("string"))
+    return whole.unionByName(packed)
+
+
 def lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Lines of texts: id_col, line_no from 1, line (trimmed)."""
-    parts = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
+    parts = F.split(text, X.LINE_END)
     return docs.select(id_col, F.posexplode(parts).alias("p", "line")).select(id_col, (F.col("p") + 1).alias("line_no"), F.regexp_replace("line", r"^[ \t]+|[ \t]+$", "").alias("line"))

@@ -10,8 +10,8 @@ from quillspark.shared import Scratch
 
 def _ranged(df: DataFrame, group: list[str], order: list[str], scratch: Scratch) -> DataFrame:
     """df with ``_part`` (range partition) and ``_at`` (position in it), written down so both stay fixed."""
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    placed = df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
+    # no fixed number of ranges: adaptive execution joins small neighbouring ones
+    placed = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
     placed = placed.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33).cast("int"))
     return scratch.save(placed, "ranged")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.skew import skew_join
+from quillspark.shared import Scratch
 
 
 def null_mask(keys: list[str]) -> Column:
@@ -51,6 +53,28 @@ def orphans(references: DataFrame, keys: list[str], target: DataFrame, match: st
     return out.drop("_mask")
 
 
+def orphan_parts(references: DataFrame, targets: dict[str, tuple[DataFrame, str]], valid: Column | None = None) -> DataFrame:
+    """Orphans among references whose columns each lead to a table of their own (match ``each``).
+
+    ``targets``: column -> (table, its key). References are grouped by the null mask over these columns; the rows of
+    each mask are anti-joined with the target of each of its non-null columns. A row comes out once for every column
+    that leads nowhere: its other columns, ref_column and ref_id (as bigint). An all-null reference is none. ``valid``
+    is a further condition on a target row, as in ``orphans``.
+    """
+    keys = list(targets)
+    keep = [c for c in references.columns if c not in keys]
+    marked = references.withColumn("_mask", null_mask(keys))
+    parts = []
+    for mask in range(1, 1 << len(keys)):
+        rows = marked.where(F.col("_mask") == mask)
+        for i, k in enumerate(keys):
+            if mask >> i & 1:
+                target, key = targets[k]
+                refs = rows.select(*keep, F.lit(k).alias("ref_column"), F.col(k).cast("bigint").alias("ref_id")).distinct()
+                parts.append(orphans(refs, ["ref_id"], target, valid=valid, target_keys=[key]))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def cited_ids(messages: DataFrame) -> DataFrame:
     """One row per citation of a message: id, created_at, chunk_id, document_id (null where it has none).
 
@@ -69,20 +93,20 @@ def deleted_documents(log: DataFrame) -> DataFrame:
     return last.where(F.col("e.change") == "delete").select("document_id")
 
 
-def orphan_references(messages: DataFrame, chunks: DataFrame, documents: DataFrame, log: DataFrame) -> DataFrame:
+def orphan_references(messages: DataFrame, chunks: DataFrame, documents: DataFrame, log: DataFrame, scratch: Scratch) -> DataFrame:
     """Distinct orphan references: src_table, period, src_id, ref_table, ref_id.
 
-    A reference is an orphan where its key has no row, is a deleted document, or its row is created later than
-    the source. Null created_at is later than nothing; its period is null. Null keys are no references.
+    A citation is one composite reference (chunk, document), either half of which may be null; a chunk refers to its
+    document alone. Each half that is there is a reference to its own table. It is an orphan where its key has no row, is
+    a deleted document, or its row is created later than the source. Null created_at is later than nothing; its period
+    is null. Null keys are no references.
     """
-    cited = cited_ids(messages.dropDuplicates(["id"]))
     month = F.date_format("created_at", "yyyy-MM").alias("period")
-    from_messages = lambda col, to: cited.select(F.lit("messages").alias("src_table"), month, F.col("id").alias("src_id"), F.lit(to).alias("ref_table"), F.col(col).alias("ref_id"), F.col("created_at").alias("src_at"))
-    from_chunks = chunks.select(F.lit("chunks").alias("src_table"), month, F.col("id").alias("src_id"), F.lit("documents").alias("ref_table"), F.col("document_id").alias("ref_id"), F.col("created_at").alias("src_at"))
-    to_documents = from_messages("document_id", "documents").unionByName(from_chunks).where("ref_id is not null").distinct()
-    to_chunks = from_messages("chunk_id", "chunks").where("ref_id is not null").distinct()
+    source = lambda df, name, chunk: df.select(F.lit(name).alias("src_table"), month, F.col("id").alias("src_id"), F.col("created_at").alias("src_at"), chunk.cast("bigint").alias("chunks"), F.col("document_id").alias("documents"))
+    cited = source(cited_ids(messages.dropDuplicates(["id"])), "messages", F.col("chunk_id"))
+    refs = scratch.save(cited.unionByName(source(chunks, "chunks", F.lit(None))).distinct(), "references")  # citations are parsed once
     alive = documents.join(deleted_documents(log).withColumnRenamed("document_id", "doc_id"), "doc_id", "left_anti")
-    known = lambda df, key: df.groupBy(F.col(key).alias("ref_id")).agg(F.min("created_at").alias("ref_at"))
+    known = lambda df, key: scratch.save(df.groupBy(F.col(key).alias("key")).agg(F.min("created_at").alias("ref_at")), "known")
     in_time = ~F.coalesce(F.col("ref_at") > F.col("src_at"), F.lit(False))
-    found = orphans(to_documents, ["ref_id"], known(alive, "doc_id"), valid=in_time).unionByName(orphans(to_chunks, ["ref_id"], known(chunks, "id"), valid=in_time))
-    return found.drop("src_at").distinct()
+    found = orphan_parts(refs, {"chunks": (known(chunks, "id"), "key"), "documents": (known(alive, "doc_id"), "key")}, valid=in_time)
+    return found.select("src_table", "period", "src_id", F.col("ref_column").alias("ref_table"), "ref_id").distinct()

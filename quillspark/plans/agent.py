@@ -9,6 +9,7 @@ from quillspark.functions import text as X
 from quillspark.operators import agent as A
 from quillspark.operators import retrieval as R
 from quillspark.settings import Settings
+from quillspark.shared import Scratch, spread
 
 S = Settings()
 
@@ -28,13 +29,15 @@ def agent_plans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _retriever(spark: SparkSession, d: str):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.words("text").alias("tokens"))
+    """Searches for subquestions in one index of all documents: the final rows of BM25 with the share of terms they hold."""
+    scratch = Scratch(spark)
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select("doc_id", X.search_tokens("text").alias("tokens"))
+    index = R.build_index(docs, "doc_id", "tokens", S, scratch)
 
     def retrieve(subs: DataFrame) -> DataFrame:
-        q = subs.select("sub_key", X.words("subquestion").alias("tokens"))
-        top = R.bm25(docs, "doc_id", "tokens", q, "sub_key", "tokens", S.final_top_k, S)
-        share = R.overlap(docs, "doc_id", "tokens", q, "sub_key", "tokens").select("sub_key", "doc_id", "share")
-        return top.join(share, ["sub_key", "doc_id"])
+        q = scratch.save(subs.select("sub_key", X.search_tokens("subquestion").alias("tokens")), "subquestions")
+        top = scratch.save(R.bm25(index, q, "sub_key", "tokens", "doc_id", S.final_top_k, scratch), "top")
+        return top.join(R.overlap_of(index, top, q, "sub_key", "tokens", "doc_id", scratch), ["sub_key", "doc_id"])
 
     return retrieve
 
@@ -52,7 +55,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    greet = "regexp_matches(question, '(?i)^\\s*(xin\\s+chào|chào(\\s+(bạn|em|anh|chị))?|hello|hi|hey|cảm\\s+ơn|thanks?|thank\\s+you|tạm\\s+biệt|bye)[\\s!.,?]*$')"
+    greet = "regexp_matches(question, '(?i)^\\s*(xin\\s*chào|hello|hi+|hey+|chào\\s+bạn|cảm\\s*ơn|thanks|thank\\s*you|tạm\\s*biệt|goodbye|bye|bạn\\s+là\\s+ai[?!]*|bạn\\s+có\\s+thể\\s+làm\\s+gì[?!]*|trợ\\s+lý|đang\\s+sẵn\\s*sàng|ok[?!.]*|okay[?!.]*)[\\s.!?]*$')"
     r = f"with r as (select item_id, question, case when {greet} then 'no_retrieval' when len(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+')) > 25 or regexp_matches(question, '(?i)\\s(và|trong khi|while|although|when|khi)\\s') then 'complex' else 'simple' end as route from questions)"
     return {
         "agent_routes": r + " select item_id, route from r",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import references as R
+from quillspark.shared import Scratch
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -17,7 +18,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     m = _read(spark, d, "messages").select("id", "citations", "created_at")
     c = _read(spark, d, "chunks").select("id", "document_id", "created_at")
     docs = _read(spark, d, "documents").select("doc_id", "created_at")
-    return R.orphan_references(m, c, docs, _read(spark, d, "document_log")).select("src_table", "period", "src_id", "ref_table", "ref_id")
+    return R.orphan_references(m, c, docs, _read(spark, d, "document_log"), Scratch(spark)).select("src_table", "period", "src_id", "ref_table", "ref_id")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:

@@ -1,49 +1,19 @@
-"""Tables of the store and of indexes: reading with defaults, writing, markdown question sets."""
+"""Tables of the store and of indexes: reading with defaults, markdown question sets."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import text as X
-from quillspark.operators import retrieval as R
-from quillspark.settings import Settings
-
-INDEX_VERSION = 1
-
 
 def read_with_defaults(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table under a fixed schema: columns that its files don't have yet are null."""
     return spark.read.schema(schema).option("mergeSchema", "true").parquet(path)
 
 
-def write_index(docs: DataFrame, id_col: str, tokens: str, path: str, settings: Settings) -> None:
-    """Postings clustered by term, term statistics, corpus statistics and, last of all, the version that makes the index valid."""
-    R.postings(docs, id_col, tokens).repartition("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    R.term_stats(docs, id_col, tokens, settings).write.mode("overwrite").parquet(f"{path}/terms")
-    stats = R.corpus_stats(docs, tokens).withColumn("version", F.lit(INDEX_VERSION))
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def search_index(spark: SparkSession, path: str, queries: DataFrame, query_id: str, query_tokens: str, k: int, settings: Settings) -> DataFrame:
-    """BM25 from a written index. A filter on the query terms reaches the postings' row groups, which are sorted by term."""
-    stats = spark.read.parquet(f"{path}/stats")
-    if stats.first()["version"] != INDEX_VERSION:
-        raise ValueError("the index has another version: write it again")
-    wanted = queries.select(F.col(query_id).alias("q"), F.explode(query_tokens).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times"))
-    hits = spark.read.parquet(f"{path}/postings").join(R.query_side(wanted), "term").join(spark.read.parquet(f"{path}/terms").select("term", "idf"), "term").join(F.broadcast(stats))
-    s = settings
-    part = F.col("times") * F.col("idf") * F.col("tf") * (s.k1 + 1) / (F.col("tf") + s.k1 * (1 - s.b + s.b * F.col("doc_len") / F.col("avg_len")))
-    scored = hits.groupBy("q", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return R.top_k(scored, "q", "score", "id", k).withColumnRenamed("q", query_id)
-
-
 def markdown_questions(spark: SparkSession, path: str, difficulty: str) -> DataFrame:
     """Rows of a markdown table whose first cell is a number: qid, question, expected, difficulty. Other lines are left out."""
     cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = spark.read.text(path).where(F.trim("value").startswith("|")).select(cells.alias("c")).where((F.size("c") >= 3) & F.col("c")[0].rlike(r"^\d+$"))
     return rows.select(F.concat(F.substring(F.lit(difficulty), 1, 1), F.col("c")[0]).alias("qid"), F.col("c")[1].alias("question"), F.col("c")[2].alias("expected"), F.lit(difficulty).alias("difficulty"))
 
-
-def tokens_of(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    return df.select(id_col, X.search_tokens(text).alias("tokens"))

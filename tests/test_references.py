@@ -13,7 +13,7 @@ t = lambda d: T(2024, 1, d)
 
 
 def run(spark, m, c, d, log):
-    out = R.orphan_references(spark.createDataFrame(m, M), spark.createDataFrame(c, C), spark.createDataFrame(d, D), spark.createDataFrame(log, L))
+    out = R.orphan_references(spark.createDataFrame(m, M), spark.createDataFrame(c, C), spark.createDataFrame(d, D), spark.createDataFrame(log, L), Scratch(spark))
     return sorted((r.src_table, r.period, r.src_id, r.ref_table, r.ref_id) for r in out.collect())
 
 

@@ -2,10 +2,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as X
 from quillspark.operators import agent as A
 from quillspark.operators import evaluation as E
 from quillspark.operators import retrieval as R
+from quillspark.operators.embedding import embed, set_embeddings
 from quillspark.settings import Settings
+from quillspark.shared import Scratch
 
 S = Settings()
 
@@ -13,7 +16,8 @@ S = Settings()
 def scores(spark, corpus, query):
     docs = spark.createDataFrame([(i, d.split()) for i, d in enumerate(corpus, 1)], "id long, tokens array<string>")
     q = spark.createDataFrame([(1, query.split())], "q long, t array<string>")
-    return {r.id: r.score for r in R.bm25(docs, "id", "tokens", q, "q", "t", 30, S).collect()}
+    scratch = Scratch(spark)
+    return {r.id: r.score for r in R.bm25(R.build_index(docs, "id", "tokens", S, scratch), q, "q", "t", "id", 30, scratch).collect()}
 
 
 def test_bm25(spark):
@@ -74,18 +78,100 @@ def test_merge_subquestions(spark):
 
 def test_agent_loop(spark):
     docs = spark.createDataFrame([(1, "quỹ học bổng dành suất cho lớp".split()), (2, "lịch thi cuối kỳ".split()), (3, "thư viện".split())], "doc_id long, tokens array<string>")
-    q = spark.createDataFrame([(1, "quỹ học bổng dành suất", 0), (2, "Xin chào!", 0), (3, "zzz yyy xxx www", 0), (4, "quỹ học bổng khi lịch thi", 0)], "item_id long, question string, label int")
+    q = spark.createDataFrame([(1, "quỹ học bổng dành suất", 0), (2, "Xin chào!", 0), (3, "zzz yyy xxx www", 0), (4, "quỹ học bổng khi lịch thi", 0), (5, "quỹ học bổng khi zzz yyy", 0), (6, "zzz khi yyy", 0)], "item_id long, question string, label int")
 
-    def retrieve(subs):
-        from quillspark.functions import text as X
+    scratch = Scratch(spark)
+    index = R.build_index(docs, "doc_id", "tokens", S, scratch)
 
+    def retrieve(subs):
         w = subs.select("sub_key", X.words("subquestion").alias("t"))
-        return R.bm25(docs, "doc_id", "tokens", w, "sub_key", "t", 5, S).join(R.overlap(docs, "doc_id", "tokens", w, "sub_key", "t").select("sub_key", "doc_id", "share"), ["sub_key", "doc_id"])
+        top = R.bm25(index, w, "sub_key", "t", "doc_id", 5, scratch)
+        return top.join(R.overlap_of(index, top, w, "sub_key", "t", "doc_id", scratch), ["sub_key", "doc_id"])
 
     answers, citations = A.answer(q, "item_id", "question", retrieve, S)
     got = {r.item_id: r for r in answers.collect()}
-    assert (got[1].route, got[1].stopped, got[1].iterations, got[1].partial) == ("simple", "converged", 1, False)
+    assert (got[1].route, got[1].stopped, got[1].iterations, got[1].partial, got[1].n_steps) == ("simple", None, 0, False, 0)
     assert got[2].route == "no_retrieval" and got[2].n_context == 0
-    assert got[3].answer == A.NOT_FOUND and got[3].partial and got[3].stopped in ("early_stop", "max_iters")
-    assert got[4].route == "complex" and got[4].n_steps == 2
+    assert got[3].answer == A.NOT_FOUND and not got[3].partial and all(r.verified for r in got.values())
+    assert got[4].route == "complex" and got[4].n_steps == 2 and got[4].stopped == "converged"
+    assert (got[5].stopped, got[5].partial, got[5].iterations) == ("sufficient", True, 0) and got[6].stopped == "early_stop" and got[6].partial
     assert all(r.cited for r in citations.collect())
+    never = A.Providers(sufficient=lambda notes: F.lit(False), unsupported=lambda a, n: F.array(F.lit("x"), F.lit("y")))
+    got = {r.item_id: r for r in A.answer(q.where("item_id = 5"), "item_id", "question", retrieve, S, never)[0].collect()}
+    assert got[5].stopped == "early_stop" and got[5].iterations == 1 and not got[5].verified and got[5].reason == "x; y"
+
+
+def test_second_half_keeps_all_words(spark):
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(1000)),), ("one",), ("a b c",)], "t string")
+    assert [len(r[0].split()) for r in df.select(A.second_half(F.col("t"))).collect()] == [501, 1, 3]
+
+
+def test_search_against_scoring_all(spark):
+    """Bounds leave out nothing: the searches equal scoring every document, ties and repeated query terms included."""
+    import random
+
+    rng = random.Random(6)
+    words = [f"t{i}" for i in range(40)]
+    pick = lambda n: [rng.choice(words[: rng.choice([3, 10, 40])]) for _ in range(n)]
+    docs = spark.createDataFrame([(i, pick(rng.randint(0, 30))) for i in range(400)], "id long, tokens array<string>")
+    queries = spark.createDataFrame([(i, pick(rng.randint(0, 8)) + ["absent"] * (i % 2)) for i in range(30)], "q long, t array<string>")
+    scratch = Scratch(spark)
+    index = R.build_index(docs, "id", "tokens", S, scratch)
+    tokens, asked = {r.id: r.tokens for r in docs.collect()}, {r.q: r.t for r in queries.collect()}
+    idf = {r.term: r.idf for r in index.terms.collect()}
+    mean = sum(map(len, tokens.values())) / len(tokens)
+    bm, ov = {}, {}
+    for q, t in asked.items():
+        for i, d in tokens.items():
+            part = lambda x: idf[x] * d.count(x) * 2.5 / (d.count(x) + 1.5 * (0.25 + 0.75 * len(d) / mean))
+            bm[q, i] = round(sum(part(x) for x in t if x in d), 6)
+            ov[q, i] = round(len(set(t) & set(d)) / max(len(set(t)), 1), 6)
+    best = lambda of, k: {(q, i, n) for q in asked for n, (_, i) in enumerate(sorted((-s, i) for (x, i), s in of.items() if x == q and s > 0)[:k], 1)}
+    rows = lambda df: {(r.q, r.id, r["rank"]) for r in df.collect()}
+    for k in (1, 5):
+        assert rows(R.bm25(index, queries, "q", "t", "id", k, scratch)) == best(bm, k)
+        assert rows(R.overlap(index, queries, "q", "t", "id", k, scratch)) == best(ov, k)
+    for share in (0.3, 0.5, 1.0):
+        got = {(r.q, r.id): r.share for r in R.overlap_at_least(index, queries, "q", "t", "id", share, scratch).collect()}
+        assert got == {p: s for p, s in ov.items() if s >= share}
+    assert R.bm25(index, queries.limit(0), "q", "t", "id", 3, scratch).collect() == []
+    none = R.build_index(docs.limit(0), "id", "tokens", S, scratch)
+    assert R.bm25(none, queries, "q", "t", "id", 3, scratch).collect() == []
+
+
+def test_dense_in_slices(spark, monkeypatch):
+    x = np.random.default_rng(4).standard_normal((50, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.vstack([x, x]))], "id long, v array<double>")
+    whole = R.dense(df, "id", "v", df.withColumnRenamed("id", "q"), "q", "v", 3).collect()
+    monkeypatch.setattr(R, "QUERY_SLICE", 7)
+    monkeypatch.setattr(R, "VECTOR_BATCH", 9)
+    assert sorted(whole) == sorted(R.dense(df, "id", "v", df.withColumnRenamed("id", "q"), "q", "v", 3).collect()) and len(whole) == 300
+    assert R.dense(df, "id", "v", df.limit(0).withColumnRenamed("id", "q"), "q", "v", 3).collect() == []
+
+
+def test_index_round_trip(spark, tmp_path):
+    docs = spark.createDataFrame([(1, ["cat", "sat"]), (2, ["cat", "cat", "dog"]), (3, ["bird"]), (4, []), (5, ["fish"]), (6, ["fish"])], "id long, tokens array<string>")
+    q = spark.createDataFrame([(1, ["dog", "cat"])], "q long, t array<string>")
+    search = lambda index: sorted((r.id, r.score) for r in R.bm25(index, q, "q", "t", "id", 5, Scratch(spark)).collect())
+    R.write_index(docs, "id", "tokens", f"{tmp_path}/i", S)
+    want = search(R.build_index(docs, "id", "tokens", S, Scratch(spark)))
+    assert search(R.open_index(spark, f"{tmp_path}/i", S)) == want and {i for i, _ in want} == {1, 2}
+    R.write_index(docs.where("id < 3"), "id", "tokens", f"{tmp_path}/half", S)
+    R.append_to_index(f"{tmp_path}/half", docs.where("id > 1"), "id", "tokens", f"{tmp_path}/both", S)
+    assert [i for i, _ in search(R.open_index(spark, f"{tmp_path}/both", S))] == [1, 2]
+    spark.createDataFrame([(1, 1, 0.0, 1)], "n_docs bigint, length bigint, floor double, version int").write.mode("overwrite").parquet(f"{tmp_path}/i/stats")
+    with pytest.raises(ValueError):
+        R.open_index(spark, f"{tmp_path}/i", S)
+
+
+def test_embedding_cache(spark):
+    texts = spark.createDataFrame([(1, "compute_loss của mô hình"), (2, "compute loss"), (3, None), (4, "compute_loss của mô hình"), (5, "và")], "id long, text string")
+    scratch = Scratch(spark)
+    none = spark.createDataFrame([], "content string, embedding array<float>")
+    every, new = embed(texts, "id", "text", none, scratch)
+    got = {r.id: np.array(r.embedding) for r in every.collect()}
+    assert new.count() == 3 and sorted(got) == [1, 2, 4, 5] and not got[5].any() and (got[1] == got[4]).all() and abs(np.linalg.norm(got[1]) - 1) < 1e-6
+    again, more = embed(texts, "id", "text", new, scratch)
+    assert more.count() == 0 and again.count() == 4
+    table = spark.createDataFrame([(1, None, "a"), (9, [1.0], "b")], "id long, embedding array<float>, x string")
+    assert {r.id: len(r.embedding) for r in set_embeddings(table, "id", every).collect()} == {1: 256, 9: 1}
