@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as X
+
 
 def per_query(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, query_id: str, id_col: str, k: int, methods: list[str]) -> DataFrame:
     """query_id, method, n_relevant, recall, mrr, hit at k. A query without relevant ids, or without results, scores 0 in all.
@@ -80,3 +82,21 @@ def scenario_checks(traces: DataFrame, scenarios: DataFrame) -> DataFrame:
     j = scenarios.join(seen, "scenario", "left").withColumn("seen", F.coalesce("seen", none))
     j = j.select("scenario", F.array_except(F.coalesce("expect", none), "seen").alias("missing"), F.array_intersect(F.coalesce("forbid", none), "seen").alias("forbidden"))
     return j.withColumn("passed", (F.size("missing") == 0) & (F.size("forbidden") == 0))
+
+
+def mean_relevant(scores: DataFrame, query_id: str) -> DataFrame:
+    """One row: the queries and their mean number of relevant ids; 0 without queries."""
+    per = scores.select(query_id, "n_relevant").distinct()
+    return per.agg(F.count(F.lit(1)).alias("queries"), F.round(F.coalesce(F.avg("n_relevant"), F.lit(0.0)), 6).alias("mean_relevant"))
+
+
+def feature_usage(events: DataFrame, features: dict[str, Column]) -> DataFrame:
+    """One row counting, for each feature, the runs (id) with at least one event that its condition holds for."""
+    per = events.groupBy("id").agg(*[F.max(F.coalesce(c, F.lit(False))).alias(n) for n, c in features.items()])
+    return per.agg(F.count(F.lit(1)).alias("runs"), *[F.count_if(n).alias(n) for n in features])
+
+
+def report_lines(summaries: DataFrame, label: str, metrics: list[str], signed: bool = False) -> DataFrame:
+    """summaries with ``line``: a row of a markdown table, the label and the metrics with three decimals (with their sign if ``signed``)."""
+    number = "%+.3f" if signed else "%.3f"
+    return summaries.withColumn("line", F.format_string("| %s | " + " | ".join([number] * len(metrics)) + " |", label, *[X.python_round(F.col(m), 3) for m in metrics]))

@@ -117,12 +117,22 @@ def headings(lines: DataFrame) -> DataFrame:
     return lines.join(mid, "doc_id").withColumn("label", F.when(ok, X.heading_label(F.col("line")))).drop("mid")
 
 
-def drop_boilerplate(lines: DataFrame, share: float = 0.5) -> DataFrame:
-    """lines without those of 1 to 60 characters that stand on many pages: half of them, three at least, in documents of three pages or more."""
+def boilerplate(lines: DataFrame, share: float = 0.5) -> DataFrame:
+    """doc_id, line, n: lines of 1 to 60 characters that stand on many pages: ``share`` of them, three at least, in documents of three pages or more."""
     pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("pages")).where("pages >= 3")
     per = lines.where("length(line) between 1 and 60").select("doc_id", "page", "line").distinct().groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n"))
-    gone = per.join(pages, "doc_id").where(F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("pages") * share))).select("doc_id", "line")
-    return lines.join(gone, ["doc_id", "line"], "left_anti")
+    return per.join(pages, "doc_id").where(F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("pages") * share))).select("doc_id", "line", "n")
+
+
+def drop_boilerplate(lines: DataFrame, share: float = 0.5) -> DataFrame:
+    """lines without the boilerplate of their document."""
+    return lines.join(boilerplate(lines, share).select("doc_id", "line"), ["doc_id", "line"], "left_anti")
+
+
+def empty_pages(lines: DataFrame, body: DataFrame, least: int = 3) -> DataFrame:
+    """Pages (doc_id, page) of ``lines`` on which ``body``, what is left without boilerplate, has fewer than ``least`` characters: they have to be read otherwise."""
+    left = body.groupBy("doc_id", "page").agg(F.sum(F.length("line")).alias("chars")).where(F.col("chars") >= least)
+    return lines.select("doc_id", "page").distinct().join(left, ["doc_id", "page"], "left_anti")
 
 
 def blocks(lines: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.ordering import numbered
 from quillspark.settings import Settings
+from quillspark.shared import Scratch
 
 
 def once(df: DataFrame, key: str = "id") -> DataFrame:
@@ -47,6 +49,24 @@ def upsert_summaries(summaries: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("session_id", F.coalesce("n_summary", "summary").alias("summary"), F.coalesce("n_upto", "summarized_up_to").alias("summarized_up_to"), F.when(F.col("n_upto").isNull(), "kept").when(F.col("id").isNull(), "added").otherwise("updated").alias("action"))
 
 
+def insert(table: DataFrame, key: str, new: DataFrame, order: list[str], scratch: Scratch, last: int = 0) -> DataFrame:
+    """table with the rows of ``new`` (the other columns) appended under new ids, counted on by ``order``.
+
+    Ids go on from the largest of the table and from ``last``, the largest ever given, so that ids of deleted rows
+    aren't used again. The rows are numbered by range, not in one task.
+    """
+    top = max(table.agg(F.max(key)).first()[0] or 0, last)
+    rest = [c for c in table.columns if c != key]
+    made = numbered(new.select(rest), [], order, "_n", scratch)
+    return table.unionByName(made.select((F.col("_n") + F.lit(top)).cast(dict(table.dtypes)[key]).alias(key), *rest))
+
+
+def joined_tokens(tokens: DataFrame, key: str) -> DataFrame:
+    """key, answer: the text pieces (key, seq, text) of each answer in order, without blanks around. An answer is a bounded text."""
+    parts = tokens.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("p"))
+    return parts.select(key, F.regexp_replace(F.array_join(F.transform("p", lambda x: x["text"]), ""), r"(?U)^\s+|\s+$", "").alias("answer"))
+
+
 def partial_update(table: DataFrame, key: str, changes: DataFrame, columns: list[str]) -> DataFrame:
     """table with the non-null values of ``changes`` in ``columns``; changes for unknown keys have no effect."""
     c = changes.select(key, *[F.col(x).alias(f"_n_{x}") for x in columns])

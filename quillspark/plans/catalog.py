@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import agent, layout, references, retrieval, state, streams, texts
+from quillspark.plans import agent, layout, references, retrieval, state, store, streams, texts
 
-MODULES = [references, retrieval, agent, state, texts, layout, streams]
+MODULES = [references, retrieval, agent, state, texts, layout, streams, store]
 
 
 def queries() -> dict:

@@ -9,23 +9,27 @@ from quillspark.shared import Scratch
 from quillspark.streaming import traces as S
 
 
-def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
+def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of its files: a source reads a folder, so a single file is picked from its folder by name."""
     path = f"{d}/{name}.parquet"
-    # a table is one file or a folder of files; the glob matches either
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}?")
+    schema = spark.read.parquet(path).schema
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(folder).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events by day and type from a stream."""
-    e = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = S.run_once(S.windowed_counts(e, "ts", "event_type", "1 day", "30 days"), "complete", Scratch(spark), "counts")
+    e = stream_of(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = S.run_once(S.windowed_counts(e, "ts", "event_type", "1 day", "30 days"), "update", Scratch(spark), "counts")
+    out = out.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))  # the last count of each window
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 def stream_lifecycles(spark: SparkSession, d: str) -> DataFrame:
     """Statuses of messages as their trace events stream in, each ended by the event that its status implies."""
-    m = _stream(spark, d, "messages").where(F.trim(F.lower("role")) == "assistant")
+    m = stream_of(spark, d, "messages").where(F.trim(F.lower("role")) == "assistant")
     kinds = F.transform(F.coalesce(F.expr("try_variant_get(try_parse_json(trace), '$', 'array<variant>')"), F.expr("cast(array() as array<variant>)")), lambda e: F.try_variant_get(e, "$.type", "string"))
     end = F.when(F.col("status") == "complete", F.array(F.lit("final"))).when(F.col("status") == "failed", F.array(F.lit("error"))).when(F.col("status") == "cancelled", F.array(F.lit("cancel"))).otherwise(F.array().cast("array<string>"))
     events = m.select("id", F.posexplode(F.concat(F.array(F.lit("thinking")), kinds, end)).alias("seq", "type")).dropDuplicates(["id", "seq"]).where("type is not null")

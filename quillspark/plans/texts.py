@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import chunking as C
+from quillspark.operators import layout as L
 from quillspark.operators import state as T
+from quillspark.plans.retrieval import _TOK
 from quillspark.settings import Settings
+from quillspark.shared import Scratch, spread
 from quillspark.sources import html as H
 
 S = Settings()
-#: Share of the pages that a line must stand in to be boilerplate. Half is usual for pages of one file; sources here are looser.
-SHARE = 0.05
 
 
 def _docs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
@@ -32,8 +33,8 @@ def structured_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Search tokens without stopwords and with parts of compounds: most frequent terms of titles."""
-    return _docs(spark, d, "title").select(F.explode(X.search_tokens("title")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """Search tokens without stopwords and with parts of compounds, counted over all texts."""
+    return spread(_docs(spark, d, "text")).select(F.explode(X.search_tokens("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def line_units(spark: SparkSession, d: str) -> DataFrame:
@@ -51,20 +52,27 @@ def section_ffill(spark: SparkSession, d: str) -> DataFrame:
     return run.groupBy("doc_id", "run", "section").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
+def _page_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of chunks as lines of their document's pages: doc_id, page, line."""
+    c = T.once(spark.read.parquet(f"{d}/chunks.parquet").select("id", "document_id", "page", "text")).where("document_id is not null and page is not null")
+    lines = C.lines(c.select(F.struct("document_id", "page").alias("k"), "text"), "k", "text").where("line != ''")
+    return lines.select(F.col("k.document_id").alias("doc_id"), "k.page", "line")
+
+
 def boilerplate_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of 1 to 60 characters that stand in many of a source's documents, taken as its pages: in a twentieth, and in three at least."""
-    docs = _docs(spark, d, "source", "text").where("source is not null and text is not null")
-    pages = docs.groupBy("source").agg(F.count(F.lit(1)).alias("pages")).where("pages >= 3")
-    seen = C.lines(docs.select(F.struct("doc_id", "source").alias("k"), "text"), "k", "text").where("length(line) between 1 and 60")
-    per = seen.select("k.source", "k.doc_id", "line").distinct().groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
-    return per.join(pages, "source").where(F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("pages") * F.lit(SHARE)))).select("source", "line", "n")
+    """Lines of 1 to 60 characters that stand on half of a document's pages, three at least."""
+    return L.boilerplate(_page_lines(spark, d))
 
 
 def body_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines per document without boilerplate."""
-    docs = _docs(spark, d, "source", "text").where("text is not null")
-    lines = C.lines(docs.select(F.struct("doc_id", "source").alias("k"), "text"), "k", "text").where("line != ''").select("k.doc_id", "k.source", "line")
-    return lines.join(boilerplate_lines(spark, d).select("source", "line"), ["source", "line"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+    """Lines per page without boilerplate."""
+    return L.drop_boilerplate(_page_lines(spark, d)).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def empty_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages on which boilerplate leaves fewer than 200 characters."""
+    lines = Scratch(spark).save(_page_lines(spark, d), "lines")
+    return L.empty_pages(lines, L.drop_boilerplate(lines), 200)
 
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
@@ -149,36 +157,49 @@ def order_revenue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    fs = [nfc_texts, structured_texts, search_terms, line_units, section_ffill, boilerplate_lines, body_lines, sentence_split, chunk_pack, url_parts, upload_checks, page_text, event_props, log_latency, latest_event, difficulty_labels, greetings, order_revenue]
+    fs = [nfc_texts, structured_texts, search_terms, line_units, section_ffill, boilerplate_lines, body_lines, empty_pages, sentence_split, chunk_pack, url_parts, upload_checks, page_text, event_props, log_latency, latest_event, difficulty_labels, greetings, order_revenue]
     return {f.__name__: f for f in fs}
 
 
 def oracle_sql() -> dict[str, str]:
-    lines = "l0 as (select doc_id, source, unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) as raw, generate_subscripts(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), 1) as line_no from documents where text is not null), l as materialized (select doc_id, source, line_no, regexp_replace(raw, '^[ \\t]+|[ \\t]+$', '', 'g') as line from l0)"
-    atomic = f"(starts_with(line, '[BẢNG]') or contains(line, ' | ') or regexp_matches(line, '{X.MATH_SIGNS}') or contains(line, ')/(') or contains(line, '$'))"
-    boiler = "p as (select source, count(*) as pages from documents where source is not null and text is not null group by 1 having count(*) >= 3), bo as (select source, line, count(distinct doc_id) as n, any_value(pages) as pages from l join p using (source) where length(line) between 1 and 60 group by source, line having count(distinct doc_id) >= greatest(3, floor(any_value(pages) * 0.05::double)))"
+    end = "'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'"
+    lines = f"l0 as (select doc_id, unnest(string_split_regex(text, {end})) as raw, generate_subscripts(string_split_regex(text, {end}), 1) as line_no from documents where text is not null), l as materialized (select doc_id, line_no, regexp_replace(raw, '^[ \\t]+|[ \\t]+$', '', 'g') as line from l0)"
+    pages = f"c as (select distinct on (id) * from chunks where document_id is not null and page is not null), l0 as (select document_id as doc_id, page, unnest(string_split_regex(text, {end})) as raw from c), l as materialized (select doc_id, page, regexp_replace(raw, '^[ \\t]+|[ \\t]+$', '', 'g') as line from l0 where regexp_replace(raw, '^[ \\t]+|[ \\t]+$', '', 'g') != '')"
+    boiler = "p as (select doc_id, count(distinct page) as pages from l group by 1 having count(distinct page) >= 3), bo as materialized (select doc_id, line, count(distinct page) as n from l join p using (doc_id) where length(line) between 1 and 60 group by doc_id, line having count(distinct page) >= greatest(3, floor(any_value(pages) * 0.5::double)))"
+    body = "b as materialized (select * from l where not exists (select 1 from bo where bo.doc_id = l.doc_id and bo.line = l.line))"
+    atomic = "(starts_with(line, '[BẢNG]') or contains(line, ' | ') or regexp_matches(line, '[∑√∏∫≤≥≠⇒⇐→←±·×÷∈∀∅∩∪⊆⊇≡∇∂]') or contains(line, ')/(') or contains(line, '$'))"
+    hint = "regexp_matches(line, '[∑√∏∫≤≥≠⇒⇐→←±·×÷∈∀∅∩∪⊆≡]|\\)/\\(|/\\{|\\^\\{|_\\{|=')"
+    b_ = "[\\s\\x{85}\\p{Z}]"
+    short = "(^|[^\\p{L}\\p{N}_])([A-ZĐÀÁẠẢÃ][a-zàáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹ]*\\.) "
+    kept = f"regexp_replace(regexp_replace(line, '{short}', '\\1\\2' || chr(1), 'g'), '{short}', '\\1\\2' || chr(1), 'g')"
+    upper = "[A-ZÀÁẠẢÃÂẦẤẬẨẪĂẰẮẶẲẴĐÉÈẺẼÊỀẾỆỂỄÍÌỊỈĨÓÒỌỎÕÔỒỐỘỔỖƠỜỚỢỞỠƯỜỨỰỬỮÚÙỤỦŨƯỪỨỰỬỮÝỲỴỶỸ]"
+    cut = f"regexp_replace(regexp_replace({kept}, '([?!]){b_}+', '\\1' || chr(2), 'g'), '([.;]){b_}+({upper})', '\\1' || chr(2) || '\\2', 'g')"
     return {
         "nfc_texts": "with t as (select doc_id, regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g') as t from documents) select doc_id, length(t)::int as n, md5(t) as digest from t",
-        "structured_texts": """with a as (select doc_id, regexp_replace(replace(regexp_replace(nfc_normalize(text), '\\(cid:\\d+\\)', ' ', 'g'), chr(63718), '√'), '\\r\\n?', chr(10), 'g') as t from documents),
-            b as (select doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' ')), chr(10)) as t from a),
-            c as (select doc_id, regexp_replace(regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') as t from b) select doc_id, length(t)::int as n, md5(t) as digest from c""",
+        "structured_texts": f"""with a as (select doc_id, replace(regexp_replace(nfc_normalize(text), '\\(cid:\\d+\\)', ' ', 'g'), chr(63718), '√') as t from documents),
+            b as (select doc_id, array_to_string(list_transform(string_split_regex(t, {end}), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' ')), chr(10)) as t from a),
+            c as (select doc_id, regexp_replace(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') as t from b) select doc_id, length(t)::int as n, md5(t) as digest from c""",
+        "search_terms": f"select term, count(*) as n from (select unnest({_TOK.format('text')}) as term from documents where text is not null) group by 1",
+        "sentence_split": f"with {lines} select doc_id, sum(len(list_filter(string_split({cut}, chr(2)), lambda x: trim(x) != '')))::bigint as sentences from l where line != '' and not {atomic} group by 1",
+        "empty_pages": f"with {pages}, {boiler}, {body}, k as (select doc_id, page from b group by all having sum(length(line)) >= 200) select distinct doc_id, page from l where (doc_id, page) not in (select (doc_id, page) from k)",
         "page_text": """with a as (select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[\\s\\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x != ''), chr(10) || chr(10)) as t from documents where text is not null and title is not null)
             select doc_id, length(t)::int as n, md5(t) as digest from a""",
         "line_units": f"with {lines} select doc_id, count(*) as lines, count(*) filter (where {atomic}) as atomic from l where line != '' group by 1",
-        "section_ffill": f"""with {lines}, h as (select *, case when length(line) <= 80 and not regexp_matches(line, '[=+*/^]|{X.MATH_SIGNS}') then
-            case when regexp_matches(line, '^\\d+(\\.\\d+){{0,3}}\\.?\\s+\\S') or regexp_matches(line, '^[IVXLCDM]{{1,5}}\\.\\s*\\S') then trim(line)
-              when regexp_extract(line, '^(Bước\\s+\\d+)\\s*[-:.–]?\\s*(.*)$', 1) != '' then regexp_extract(line, '^(Bước\\s+\\d+)\\s*[-:.–]?\\s*(.*)$', 1) || ': ' || regexp_extract(line, '^(Bước\\s+\\d+)\\s*[-:.–]?\\s*(.*)$', 2)
-              when regexp_matches(line, '^(Điều|Chương|Mục|Phần)\\s+\\d+') then trim(line) end end as label from l where line != ''),
+        "section_ffill": f"""with {lines}, h0 as (select *, regexp_replace(line, '^{b_}+|{b_}+$', '', 'g') as t from l where line != ''), h as (select *, case when length(line) <= 80 and not {hint} then
+            case when regexp_matches(t, '^\\d+(\\.\\d+){{0,3}}{b_}+[^\\s\\p{{Z}}]') then regexp_replace(t, '^(\\d+(?:\\.\\d+){{0,3}}){b_}+', '\\1 ')
+              when regexp_matches(t, '^[IVXLCDM]{{1,5}}\\.{b_}*[^\\s\\p{{Z}}]') then regexp_replace(t, '^([IVXLCDM]{{1,5}})\\.{b_}*', '\\1. ')
+              when regexp_matches(t, '(?i)^(Bước{b_}+\\d+){b_}*[:.\\-]?{b_}*[^\\s\\p{{Z}}]') then regexp_extract(t, '(?i)^(Bước{b_}+\\d+){b_}*[:.\\-]?{b_}*([^\\s\\p{{Z}}].*)$', 1) || ': ' || regexp_extract(t, '(?i)^(Bước{b_}+\\d+){b_}*[:.\\-]?{b_}*([^\\s\\p{{Z}}].*)$', 2)
+              when regexp_matches(t, '(?i)^(Mục{b_}*lục|Phụ{b_}*lục|Tài{b_}*liệu{b_}*tham{b_}*khảo|Kết{b_}*luận|Giới{b_}*thiệu|Tổng{b_}*kết)([^\\p{{L}}\\p{{N}}_]|$)') then t end end as label from h0),
             r as (select *, last_value(label ignore nulls) over w as section, sum((label is not null)::int) over w as run from h window w as (partition by doc_id order by line_no rows between unbounded preceding and current row))
             select doc_id, run::bigint as run, section, count(*) as lines, sum(length(line))::bigint as chars from r where label is null group by all""",
-        "boilerplate_lines": f"with {lines}, {boiler} select source, line, n from bo",
-        "body_lines": f"with {lines}, {boiler} select doc_id, count(*) as lines from l where line != '' and not exists (select 1 from bo where bo.source = l.source and bo.line = l.line) group by 1",
+        "boilerplate_lines": f"with {pages}, {boiler} select doc_id, line, n from bo",
+        "body_lines": f"with {pages}, {boiler}, {body} select doc_id, page, count(*) as lines from b group by all",
         "url_parts": "with s as (select doc_id, trim(source) as u from documents where source is not null), v as (select *, regexp_matches(u, '^(?i:https?)://[^/?#\\s]+[^\\s]*$') as valid from s) select doc_id, valid, case when valid then regexp_extract(u, '^\\w+://([^/?#:]+)', 1) end as host, case when valid then coalesce(nullif(trim(url_decode(regexp_extract(regexp_extract(u, '^\\w+://[^/?#]+([^?#]*)', 1), '([^/]*)$', 1))), ''), 'document.pdf') end as file from v",
         "upload_checks": "select case when n_chars > 5000 then 413 when not coalesce(starts_with(case when ends_with(source, '.pdf') then '%PDF-' else text end, '%PDF'), false) then 400 when not coalesce(ends_with(lower(source), '.pdf'), false) then 400 end as code, count(*) as n from documents group by 1",
         "event_props": "select event_type, count(*) as n, sum(json_extract(props, '$.k')::int)::bigint as k, count(distinct user_id) as users from events group by 1",
         "log_latency": "select event_type as node, count(*) as calls, sum(event_id % 1000)::bigint as ms, max(event_id % 1000) as slowest from events group by 1",
         "latest_event": "select user_id, arg_max(event_id, (ts, event_id)) as event_id, max(ts) as ts, arg_max(event_type, (ts, event_id)) as event_type from events group by 1",
         "difficulty_labels": "with q as (select question_set, lower(trim(replace(difficulty, '*', ''))) as low from questions) select question_set, case when low in ('easy', 'dễ', 'de') then 'easy' when low in ('medium', 'trung bình', 'tb') then 'medium' when low in ('hard', 'khó', 'kho') then 'hard' else 'other' end as label, count(*) as n from q group by all",
-        "greetings": "with m as (select distinct on (id) * from messages) select lower(trim(role, ' ')) as r, count(*) as n, count(*) filter (where regexp_matches(content, '(?i)^\\s*(xin\\s+chào|chào(\\s+(bạn|em|anh|chị))?|hello|hi|hey|cảm\\s+ơn|thanks?|thank\\s+you|tạm\\s+biệt|bye)[\\s!.,?]*$')) as greetings from m group by 1",
+        "greetings": "with m as (select distinct on (id) * from messages) select lower(trim(role, ' ')) as r, count(*) as n, count(*) filter (where regexp_matches(content, '(?i)^\\s*(xin\\s*chào|hello|hi+|hey+|chào\\s+bạn|cảm\\s*ơn|thanks|thank\\s*you|tạm\\s*biệt|goodbye|bye|bạn\\s+là\\s+ai[?!]*|bạn\\s+có\\s+thể\\s+làm\\s+gì[?!]*|trợ\\s+lý|đang\\s+sẵn\\s*sàng|ok[?!.]*|okay[?!.]*)[\\s.!?]*$')) as greetings from m group by 1",
         "order_revenue": "select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*)::bigint as items from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1",
     }

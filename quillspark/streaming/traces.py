@@ -15,18 +15,17 @@ from quillspark.shared import Scratch
 TERMINAL = {"final": "complete", "error": "failed", "cancel": "cancelled"}
 
 
-def run_once(stream: DataFrame, mode: str, scratch: Scratch, name: str) -> DataFrame:
-    """Runs a stream over what its source holds now and returns its output as a table; ``complete`` keeps the last batch."""
-    path = f"{scratch.at}/{name}"
+def write_batch(df: DataFrame, batch: int, path: str) -> None:
+    """Writes a batch to its own folder, so that a batch that is tried again replaces what it wrote before."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    def write(df: DataFrame, batch: int) -> None:
-        out = df if mode == "complete" else df.withColumn("batch", F.lit(batch))
-        out.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
 
+def run_once(stream: DataFrame, mode: str, scratch: Scratch, name: str) -> DataFrame:
+    """Runs a stream over what its source holds now and returns its output as a table, with the batch each row is from."""
+    path = f"{scratch.at}/{name}"
     # an output with no row at all still has its columns
-    empty = stream.sparkSession.createDataFrame([], stream.schema)
-    (empty if mode == "complete" else empty.withColumn("batch", F.lit(0))).write.parquet(path)
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    write_batch(stream.sparkSession.createDataFrame([], stream.schema), -1, path)
+    stream.writeStream.outputMode(mode).foreachBatch(lambda df, batch: write_batch(df, batch, path)).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.parquet(path)
 
 
@@ -37,38 +36,41 @@ def windowed_counts(events: DataFrame, ts: str, key: str, width: str, late: str)
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, expire: bool) -> Iterator[pd.DataFrame]:
-    status, count, last = state.get if state.exists else ("processing", 0, None)
+    """State: the position and type of the first end, and the events up to it as a set of positions, last type included."""
+    end, kind, at, types = state.get if state.exists else (None, None, [], [])
     if state.hasTimedOut:
         state.remove()
-        if status == "processing":
-            yield pd.DataFrame({"id": [key[0]], "status": ["failed"], "events": [count], "last_type": [last]})
+        if end is None:
+            yield pd.DataFrame({"id": [key[0]], "status": ["failed"], "events": [len(at)], "last_type": [types[-1] if types else None]})
         return
-    rows = pd.concat(list(batches)).sort_values("seq")
-    for kind in rows["type"]:
-        if status in TERMINAL.values():
-            break  # an end is final
-        count += 1
-        last = kind
-        status = TERMINAL.get(kind, status)
-    state.update((status, count, last))
+    events = dict(zip(at, types))
+    for rows in batches:
+        events |= {int(s): t for s, t in zip(rows["seq"], rows["type"])}
+    for s in sorted(events):
+        if events[s] in TERMINAL:
+            end, kind = s, events[s]
+            break
+    events = {s: t for s, t in sorted(events.items()) if end is None or s <= end}
+    state.update((end, kind, list(events), list(events.values())))
     if expire:
         state.setTimeoutDuration(10 * 60 * 1000)
-    yield pd.DataFrame({"id": [key[0]], "status": [status], "events": [count], "last_type": [last]})
+    yield pd.DataFrame({"id": [key[0]], "status": [TERMINAL.get(kind, "processing")], "events": [len(events)], "last_type": [list(events.values())[-1]]})
 
 
 def lifecycles(events: DataFrame, expire: bool = False) -> DataFrame:
     """Message states folded from (id, seq, type) events: id, status, events, last_type, one row per message and batch.
 
-    The state of a message is a few numbers, not its events. The first of final, error and cancel ends it; later
-    events change nothing. With ``expire`` a message without events for ten minutes fails; such a stream goes on
-    running batches to look for timeouts, so it suits a continuous trigger, not one that ends by itself.
+    The state of a message is the types of its events by seq, a bounded list, so that events may come late and twice. The
+    first of final, error and cancel by seq ends it; events behind that change nothing, and events without seq are left out. With ``expire`` a message without events for
+    ten minutes fails; such a stream goes on running batches to look for timeouts, so it suits a continuous trigger, not
+    one that ends by itself.
     """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         return _fold(key, batches, state, expire)
 
-    return events.groupBy("id").applyInPandasWithState(fold, "id long, status string, events int, last_type string", "status string, events int, last string", "update", timeout)
+    return events.where("seq is not null").groupBy("id").applyInPandasWithState(fold, "id long, status string, events int, last_type string", "end int, kind string, at array<int>, types array<string>", "update", timeout)
 
 
 def sse_events(frames: Column) -> Column:
@@ -78,10 +80,10 @@ def sse_events(frames: Column) -> Column:
 
 
 def ingest(stream: DataFrame, live: Callable[[], DataFrame], chunk: Callable[[DataFrame], DataFrame], path: str):
-    """Incremental ingest: each batch's documents are chunked and appended, unless deleted meanwhile. Returns the writer, not started."""
+    """Incremental ingest: each batch's documents are chunked and added, unless deleted meanwhile. Returns the writer, not started."""
 
     def publish(df: DataFrame, batch: int) -> None:
         still = df.join(live().select("doc_id").distinct(), "doc_id", "left_semi")
-        chunk(still).withColumn("batch", F.lit(batch)).write.mode("append").parquet(path)
+        write_batch(chunk(still), batch, path)
 
     return stream.writeStream.foreachBatch(publish).trigger(availableNow=True)
