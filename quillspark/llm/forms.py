@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quillspark.llm.lookalikes import INVISIBLE, LATIN_TWINS, MARK_TWINS, OTHER_TWINS
+from quillspark.llm.lookalikes import INVISIBLE, LATIN_TWINS, MARK_TWINS, OTHER_TWINS, TWO_FACED
 from quillspark.operators.skew import skew_join
 from quillspark.shared import Scratch
 
@@ -28,6 +28,7 @@ from quillspark.shared import Scratch
 SEEN = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>")
 _MARKS = "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.combining(chr(c)) and not 0x900 <= c < 0xE00 and c != 0x34F)
 _CLUSTER = re.compile(f"[^{_MARKS}][{_MARKS}]+|[{_MARKS}]{{2,}}")
+_MARK = re.compile(f"[{_MARKS}]")
 _JAMO = re.compile("[ᄀ-ᇿ]{2,}")
 
 
@@ -87,18 +88,19 @@ def look_alike_classes(counts: dict[str, int], fold: bool = False) -> dict[str,
     ``counts``: how often each code point and each decomposed spelling of a composed letter occurs. Other strings
     (ligatures and the like) count as often as their rarest code point. The most frequent member represents its
     class; at equal counts the shortest, then the smallest. Blanks, hyphens and apostrophes are represented by the
-    ASCII one. With ``fold``, the cases of a letter are one class too; the classes are then meant for casefolded texts.
+    ASCII one. With ``fold``, the cases of a letter are one class too; the classes are then meant for texts after ``folded``.
     """
     if fold:
-        folded: Counter[str] = Counter()
+        lower: Counter[str] = Counter()
         for s, n in counts.items():
-            low = s.casefold()
-            folded.update({x: n for x in ([low] if len(low) == len(s) else low)})
-        counts = folded
+            low = folded(s)
+            lower.update({x: n for x in ([low] if len(low) == len(s) else low)})
+        counts = lower
     classes = Classes()
     for row in map(str.split, (LATIN_TWINS + OTHER_TWINS).splitlines()):
         for ch in row[1:]:
-            classes.join(row[0], ch)
+            if not (fold and ord(ch) in TWO_FACED):
+                classes.join(row[0], ch)
     for row in MARK_TWINS:
         for ch in row[1:]:
             classes.join(row[0], ch)
@@ -112,7 +114,7 @@ def look_alike_classes(counts: dict[str, int], fold: bool = False) -> dict[str,
             classes.join(ch, apart)
     if fold:
         for s in list(classes.up):
-            classes.join(s, s.casefold())
+            classes.join(s, folded(s))
     # a string whose parts have twins looks like the string of the twins: join it with the string of class roots
     for _ in range(2):
         for s in [x for x in classes.up if len(x) > 1]:
@@ -137,6 +139,14 @@ def look_alike_classes(counts: dict[str, int], fold: bool = False) -> dict[str,
     return out
 
 
+_TWO_FACED = re.compile("[" + "".join(map(chr, TWO_FACED)) + "]")
+
+
+def folded(text: str) -> str:
+    """A text without case. Capitals whose small form looks like another letter go by their own look first."""
+    return (text.translate(TWO_FACED) if _TWO_FACED.search(text) else text).casefold()
+
+
 class Rewriter:
     """Rewrites texts to their form. Built from the classes of ``look_alike_classes``."""
 
@@ -151,6 +161,9 @@ class Rewriter:
             if len(k) > 1:
                 self.strings.add_word(k, (len(k), v))
         self.any = len(self.strings) > 0
+        # most strings hold accents; a text without an accent, nor one of the others, holds none
+        loose = [k for k in to if len(k) > 1 and not _MARK.search(k)]
+        self.loose = re.compile("|".join(map(re.escape, loose))) if loose else None
         if self.any:
             self.strings.make_automaton()
         self.cluster = lru_cache(65536)(lambda s: spelling(s, self.single))
@@ -164,11 +177,12 @@ class Rewriter:
         if self.changes.search(text):
             text = text.translate(self.single)
         if not text.isascii():
-            if _CLUSTER.search(text):
+            accents = _MARK.search(text)
+            if accents:
                 text = _CLUSTER.sub(lambda m: self.cluster(m.group()), text)
             if _JAMO.search(text):
                 text = _JAMO.sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
-            if self.any:
+            if self.any and (accents or self.loose and self.loose.search(text)):
                 out, at = [], 0
                 for end, (size, new) in self.strings.iter_long(text):
                     out += (text[at : end + 1 - size], new)

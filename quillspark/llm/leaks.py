@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.forms import _MARKS, Rewriter, corpus_classes
+from quillspark.llm.forms import _MARKS, Rewriter, corpus_classes, folded
 
 #: Words, or characters in Chinese and Japanese, that a passage must share.
 WORDS, CHARS = 10, 20
@@ -80,7 +80,7 @@ class Matcher:
 
     def readings(self, text: str) -> list[list[str]]:
         """The words of a text regardless of case, punctuation, markup, line breaks and look-alikes; once more without long tags if it may have some."""
-        text = self.form(text.casefold())
+        text = self.form(folded(text))
         if "<" in text or "&" in text:
             text = _TAG.sub(" ", text)
         texts = [text]

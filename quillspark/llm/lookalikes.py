@@ -72,3 +72,6 @@ MARK_TWINS = [
     "'\u02bc\uff07",
 ]
 LATIN = {ord(c): w[0] for w in map(str.split, LATIN_TWINS.splitlines()) if w for c in w[1:]}
+#: Capitals that look like one Latin letter while their small form looks like another: both looks count, but not together.
+_SMALL = {c: w[0] for w in map(str.split, LATIN_TWINS.splitlines()) if w for c in w[1:] if w[0].islower()}
+TWO_FACED = {ord(c): w[0] for w in map(str.split, LATIN_TWINS.splitlines()) if w for c in w[1:] if _SMALL.get(c.casefold(), w[0].casefold()) != w[0].casefold()}
