@@ -205,8 +205,8 @@ def _paragraph(text: str) -> list[int]:
     n = len(text)
     matched, opens = _pairs(text)
     closes = sorted(matched)
-    # candidates: (end, score of closing, score of opening after it, matched openers of its closers, open pairs around it)
-    cands: list[tuple[int, float, float, list[int]]] = []
+    # candidates: (end, score of closing, score of opening after it, matched openers of its closers, start of what follows)
+    cands: list[tuple[int, float, float, list[int], int]] = []
     for m in _MARK.finditer(text):
         end, closers = m.end(), []
         while end < n:
@@ -235,17 +235,17 @@ def _paragraph(text: str) -> list[int]:
         score, ch, at = _opening(text, end)
         if at >= n:
             continue
-        cands.append((end, _closing(text, m, closers, ch if text[at : at + 1] == ch else text[at : at + 1], at), score, [matched[c] for c in closers]))
+        cands.append((end, _closing(text, m, closers, ch if text[at : at + 1] == ch else text[at : at + 1], at), score, [matched[c] for c in closers], at))
     if "ก" <= max(text, default="") and _THAI.search(text):
         for m in _THAI.finditer(text):
-            cands.append((m.start(), 4.0, 1.0, []))
+            cands.append((m.start(), 4.0, 1.0, [], _opening(text, m.start())[2]))
         cands.sort(key=lambda c: c[0])
     if not cands:
         return [n]
     ends = [c[0] for c in cands] + [n]
     # open pairs around each end, by the pairs whose two sides lie on both sides of it
     depth = [bisect_left(opens, e) - bisect_left(closes, e) for e in ends[:-1]] + [0]
-    starts = [0] + [_opening(text, e)[2] for e in ends[:-1]]
+    starts = [0] + [c[4] for c in cands]
     best, back = [0.0] + [float("-inf")] * len(ends), [0] * (len(ends) + 1)
 
     def span(i: int, j: int, close: float, owners: list[int], around: int) -> float:
