@@ -373,4 +373,5 @@ def sentences(df: DataFrame, text: str, out: str = "end_pos") -> DataFrame:
     through one Arrow function that returns positions, and the rest stays in the JVM.
     """
     keep = [c for c in df.columns if c not in (text, out)]
-    return sentence_arrays(df.select(*keep, text), text, "_ends").select(*keep, F.explode("_ends").alias(out))
+    # exploded in one step: a filter on the arrays, as Spark adds before an explode of a column, would cut every text twice
+    return df.select(*keep, F.explode(_ends(F.col(text))).alias(out))
