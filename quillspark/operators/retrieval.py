@@ -25,6 +25,8 @@ BROADCAST_QUERY_ROWS = 200_000
 QUERY_SLICE, VECTOR_BATCH = 4_096, 1_024
 #: Postings of a query's rarest terms that its first bound is taken from, in multiples of k.
 SEED_POSTINGS = 4
+#: Matching postings of all queries up to which each is scored: finding bounds takes longer then. The result is the same.
+DIRECT_POSTINGS = 10_000_000
 #: Scores closer than this to a bound are never left out by it.
 MARGIN = 1e-5
 INDEX_VERSION = 2
@@ -152,13 +154,18 @@ def best_scored(postings: DataFrame, terms: DataFrame, k: int, scratch: Scratch)
     holds some query term: the rarest terms give each query a score that its k-th document reaches; terms that can't
     add up to that even together bring no candidates, and are looked up for the candidates of the others alone.
     """
+    terms = scratch.save(terms, "terms")
+    n, matching = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))).first()
+    hint = F.broadcast if n <= BROADCAST_QUERY_ROWS else lambda df: df
+    if matching <= DIRECT_POSTINGS:
+        scored = _sums(postings, terms, hint).select("q", "id", F.round("part", 6).alias("score")).where("score > 0")
+        return top_k(scored, "q", "score", "id", k)
     over = Window.partitionBy("q").orderBy(F.desc("bound"), "df", "term")
     before, after = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(0, Window.unboundedFollowing)
     t = terms.withColumn("bound", F.greatest(F.col("weight") * F.col("most"), F.lit(0.0)))
     t = t.withColumn("rest", F.sum("bound").over(after)).withColumn("seen", F.coalesce(F.sum("df").over(before), F.lit(0)))
     t = t.withColumn("least", F.sum(F.least(F.col("weight") * F.col("most"), F.lit(0.0))).over(Window.partitionBy("q")))
     t = scratch.save(t, "terms")
-    hint = small_side(t)
     seeds = _sums(postings, t.where(F.col("seen") < SEED_POSTINGS * k), hint)
     # what is left out by rank is smaller, so the k-th of those kept is the k-th
     kth = top_k(seeds, "q", "part", "id", k).groupBy("q").agg(F.min("part").alias("kth"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)

@@ -27,7 +27,8 @@ def spread(df: DataFrame) -> DataFrame:
     Fewer parts than cores hold at most a file block for each core; larger tables are left as they are read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if parts < cores else df
 
 
 class Scratch:

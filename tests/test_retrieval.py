@@ -106,10 +106,13 @@ def test_second_half_keeps_all_words(spark):
     assert [len(r[0].split()) for r in df.select(A.second_half(F.col("t"))).collect()] == [501, 1, 3]
 
 
-def test_search_against_scoring_all(spark):
+@pytest.mark.parametrize("direct", [0, R.DIRECT_POSTINGS])
+def test_search_against_scoring_all(spark, monkeypatch, direct):
     """Bounds leave out nothing: the searches equal scoring every document, ties and repeated query terms included."""
     import random
 
+    monkeypatch.setattr(R, "DIRECT_POSTINGS", direct)
+
     rng = random.Random(6)
     words = [f"t{i}" for i in range(40)]
     pick = lambda n: [rng.choice(words[: rng.choice([3, 10, 40])]) for _ in range(n)]
