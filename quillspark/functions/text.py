@@ -32,8 +32,9 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # Glyph codes of damaged fonts, and a damaged root sign.
 GLYPH_CODE, ROOT_GLYPH = r"\(cid:\d+\)", "\uf8e6"
 WORD, COMPOUND = r"[\p{L}\p{N}_]+", "_|[a-z0-9][A-Z]"
-#: Characters that canonical composition may change or join with the one before; all others stay as they are.
-COMPOSES = r"[\p{M}\x{340}-\x{345}\x{374}\x{37e}\x{387}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}\x{a36}\x{a59}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{fb9}\x{1100}-\x{11ff}\x{1f71}-\x{1fff}\x{2000}\x{2001}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{2adc}\x{f900}-\x{faff}\x{fb1d}-\x{fb4f}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1f}]"
+#: Characters that canonical composition may change or join with the one before; all others stay as they are. Letters of
+#: most Latin texts are told by the first two ranges and looked for in none of the others.
+COMPOSES = r"[[^\x00-\x{2ff}\x{1e00}-\x{1f70}]&&[\p{M}\x{340}-\x{345}\x{374}\x{37e}\x{387}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}\x{a36}\x{a59}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{fb9}\x{1100}-\x{11ff}\x{1f71}-\x{1fff}\x{2000}\x{2001}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{2adc}\x{f900}-\x{faff}\x{fb1d}-\x{fb4f}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1f}]]"
 
 
 def _nfc(s: pd.Series) -> pd.Series:
@@ -41,9 +42,10 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(col) -> Column:
-    """Canonical composition; texts that it can't change, the common case, don't leave the JVM."""
+    """Canonical composition; of texts that it can't change, the common case, only a null is sent to Python."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.when(c.rlike(COMPOSES), F.pandas_udf(_nfc, StringType())(c)).otherwise(c)
+    changes = c.rlike(COMPOSES)
+    return F.when(changes, F.pandas_udf(_nfc, StringType())(F.when(changes, c))).otherwise(c)
 
 
 def clean_artifacts(c: Column) -> Column:

@@ -27,7 +27,7 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spread(_read(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.search_tokens("text").alias("tokens"))
+    return spread(_read(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", X.search_tokens("text").alias("tokens"))
 
 
 def _questions(spark: SparkSession, d: str, col: str = "question") -> DataFrame:

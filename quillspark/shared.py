@@ -21,14 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df over all cores: a small table in fewer parts than there are cores is shuffled once before costly work on its rows.
 
-    Fewer parts than cores hold at most a file block for each core; larger tables are left as they are read.
+    By ``keys``, if given, which saves the shuffle of a grouping by them that follows; they have to be near unique. Fewer parts than cores hold at most a file block for each core; larger tables are left as they are read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     parts = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if parts < cores else df
+    return df.repartition(cores, *keys) if parts < cores else df
 
 
 class Scratch:
