@@ -222,16 +222,21 @@ def overlap_at_least(index: Index, queries: DataFrame, query_id: str, query_toke
     """All pairs in which the document holds at least ``share`` of the query's distinct terms: query_id, id_col, share.
 
     A document with m of a query's n terms holds one of any n - m + 1 of them, so only the rarest n - m + 1 bring
-    candidates; terms that no document has count among these.
+    candidates; terms that no document has count among these. Where all terms together match few postings, each is counted.
     """
     postings, known = _counting(index, queries, query_id, query_tokens)
     need = F.ceil(F.col("n") * F.lit(share) - 1e-9)
     over = Window.partitionBy("q").orderBy("df", "term")
     missing = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("q"))
     t = scratch.save(known.withColumn("leads", F.row_number().over(over) + missing <= F.col("n") - need + 1), "counted")
-    hint = small_side(t)
-    found = scratch.save(_sums(postings, t.where("leads"), hint), "found")
-    scored = _complete(found, postings, t.where("not leads"), hint).join(hint(t.select("q", "n").distinct()), "q")
+    rows, matching = t.agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))).first()
+    hint = F.broadcast if rows <= BROADCAST_QUERY_ROWS else lambda df: df
+    if matching <= DIRECT_POSTINGS:
+        scored = _sums(postings, t, hint).withColumnRenamed("part", "score")
+    else:
+        found = scratch.save(_sums(postings, t.where("leads"), hint), "found")
+        scored = _complete(found, postings, t.where("not leads"), hint)
+    scored = scored.join(hint(t.select("q", "n").distinct()), "q")
     out = scored.select(F.col("q").alias(query_id), F.col("id").alias(id_col), F.round(F.col("score") / F.col("n"), 6).alias("share"))
     return out.where(F.col("share") >= share)
 
