@@ -32,7 +32,7 @@ def agent_plans(spark: SparkSession, d: str) -> DataFrame:
 def _retriever(spark: SparkSession, d: str):
     """Searches for subquestions in one index of all documents: the final rows of BM25 with the share of terms they hold."""
     scratch = Scratch(spark)
-    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select("doc_id", X.search_tokens("text").alias("tokens"))
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id").select("doc_id", X.search_tokens("text").alias("tokens"))
     index = R.build_index(docs, "doc_id", "tokens", S, scratch)
 
     def retrieve(subs: DataFrame) -> DataFrame:
